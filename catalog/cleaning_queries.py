@@ -17,14 +17,14 @@ def add(name, query, sql=None):
         ORACLE[name] = sql
 
 
-def apply(df, column, kind, method, **params):
+def apply(df, column, kind, name, /, **params):
     """Key, value before and value after."""
-    return C.fit_method(df, column, kind, method, params).transform(df, "after")
+    return C.fit_method(df, column, kind, name, params).transform(df, "after")
 
 
-def cleaned(fixture, key, column, kind, method, dp=4, **params):
+def cleaned(fixture, key, column, kind, name, dp=4, /, **params):
     def query(spark, sf):
-        out = apply(fixture(spark, sf), column, kind, method, **params)
+        out = apply(fixture(spark, sf), column, kind, name, **params)
         return rnd(out.select(key, F.col(column).alias("before"), "after"), dp)
 
     return query
@@ -60,9 +60,9 @@ add("clean_bfill", cleaned(gaps, "row_id", "price", MISSING, "backward_fill", or
 def _neighbours(x, at="pos"):
     """Previous and next observed value with their place on the axis."""
     axis = "row_number() OVER (ORDER BY row_id) - 1.0E0" if at == "pos" else "epoch_us(o_orderdate)"
-    return _G + f""", a AS (SELECT row_id, o_orderdate, {x} AS x, {axis} AS at FROM fx_orders_gaps),
-p AS (SELECT *, CASE WHEN x IS NOT NULL THEN at END AS seen FROM a),
-n AS (SELECT row_id, x, CAST(at AS DOUBLE) AS at,
+    return _G + f""", a AS (SELECT row_id, o_orderdate, {x} AS x, {axis} AS ax FROM fx_orders_gaps),
+p AS (SELECT *, CASE WHEN x IS NOT NULL THEN ax END AS seen FROM a),
+n AS (SELECT row_id, x, CAST(ax AS DOUBLE) AS ax,
   last_value(x IGNORE NULLS) OVER w AS pv, CAST(last_value(seen IGNORE NULLS) OVER w AS DOUBLE) AS pa,
   first_value(x IGNORE NULLS) OVER f AS nv, CAST(first_value(seen IGNORE NULLS) OVER f AS DOUBLE) AS na, quantile_cont(x, 0.5) OVER () AS med FROM p
   WINDOW w AS (ORDER BY {{order}} ROWS UNBOUNDED PRECEDING), f AS (ORDER BY {{order}} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
@@ -73,10 +73,10 @@ def _interp(rule, x="price", at="pos", order="row_id"):
     return _neighbours(x, at).format(order=order) + f"SELECT row_id, {r('x', 4)} AS before, {r(f'coalesce(x, {rule})', 4)} AS after FROM n"
 
 
-_LINE = "pv + (nv - pv) * coalesce((at - pa) / nullif(na - pa, 0), 0)"
+_LINE = "pv + (nv - pv) * coalesce((ax - pa) / nullif(na - pa, 0), 0)"
 add("clean_interpolate", cleaned(gaps, "row_id", "price", MISSING, "interpolation", order_by=["row_id"], buckets=16), _interp(f"{_LINE}, pv, med"))
 add("clean_interp_nearest", cleaned(gaps, "row_id", "price", MISSING, "interpolation", method="nearest", order_by=["row_id"]),
-    _interp("CASE WHEN pv IS NOT NULL AND nv IS NOT NULL THEN CASE WHEN at - pa <= na - at THEN pv ELSE nv END END, med"))
+    _interp("CASE WHEN pv IS NOT NULL AND nv IS NOT NULL THEN CASE WHEN ax - pa <= na - ax THEN pv ELSE nv END END, med"))
 add("clean_interp_zero", cleaned(gaps, "row_id", "price", MISSING, "interpolation", method="zero", order_by=["row_id"]),
     _interp("CASE WHEN nv IS NOT NULL THEN pv END, med"))
 add("clean_interp_slinear", cleaned(gaps, "row_id", "price", MISSING, "interpolation", method="slinear", order_by=["row_id"]), _interp(f"{_LINE}, med"))
@@ -107,8 +107,8 @@ _LO = f"({_Q % 0.25} - 1.5E0 * ({_Q % 0.75} - {_Q % 0.25}))"
 _HI = f"({_Q % 0.75} + 1.5E0 * ({_Q % 0.75} - {_Q % 0.25}))"
 
 
-def spiky(kind, **params):
-    return cleaned(gaps, "row_id", "price_spiky", OUTLIERS, kind, 3, **params)
+def spiky(name, /, **params):
+    return cleaned(gaps, "row_id", "price_spiky", OUTLIERS, name, 3, **params)
 
 
 def clip_sql(lo, hi):
@@ -130,8 +130,8 @@ add("treat_iforest", lambda s, sf: apply(gaps(s, sf), "price_spiky", OUTLIERS, "
 _NUMBER = "CASE WHEN regexp_matches({x}, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') THEN TRY_CAST(trim({x}) AS DOUBLE) END"
 
 
-def text_case(column, method, **params):
-    return cleaned(messy, "row_id", column, QUALITY, method, **params)
+def text_case(column, name, /, **params):
+    return cleaned(messy, "row_id", column, QUALITY, name, 4, **params)
 
 
 def text_sql(x, after):

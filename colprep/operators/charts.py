@@ -72,7 +72,8 @@ def bin_number(x: Column, low: float, width: float, bins: int) -> Column:
     """Equal-width bin, the last one closed."""
     if width <= 0:
         return F.when(x.isNotNull(), F.lit(0).cast("long"))
-    return F.least(F.floor((x - F.lit(low)) / F.lit(width)).cast("long"), F.lit(bins - 1).cast("long"))
+    number = F.floor((x - F.lit(low)) / F.lit(width)).cast("long")
+    return F.when(x.isNotNull(), F.least(number, F.lit(bins - 1).cast("long")))  # least() skips NULL
 
 
 def histogram(df: DataFrame, column: str, max_bins: int = 50) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colprep.functions.exprs import c, count_if, literal_rows
+from colprep.functions.exprs import c, count_if, is_numeric, literal_rows
 from colprep.operators.cleaning import METHODS, Fitted, fit_method
 from colprep.session import scratch_dir
 
@@ -147,7 +147,8 @@ def operation_log(df: DataFrame, recipe: Recipe) -> DataFrame:
         both = step.fitted.transform(current.withColumn(_BEFORE, c(op.column)))
         was, now = F.col(_BEFORE), c(op.column)
         if both.schema[_BEFORE].dataType != both.schema[op.column].dataType:
-            was, now = was.cast("string"), now.cast("string")
+            kind = "double" if all(is_numeric(both.schema[x].dataType) for x in (_BEFORE, op.column)) else "string"
+            was, now = was.cast(kind), now.cast(kind)
         effect = both.agg(
             count_if(~was.eqNullSafe(now)).alias("changed"), count_if(was.isNull()).alias("before"), count_if(now.isNull()).alias("after"),
         ).first()
