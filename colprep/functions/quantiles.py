@@ -29,10 +29,13 @@ def exact_quantiles(
     df: DataFrame,
     values: Mapping[str, Column],
     probs: Sequence[float],
+    sizes: Mapping[str, tuple[int, int]] | None = None,
     distinct_limit: int = DISTINCT_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several expressions.
 
+    ``sizes`` gives the (non-null, approximate distinct) counts when they are
+    known already; otherwise one more aggregate finds them.
     Returns ``{name: [quantile per prob]}``, ``None`` for columns without values.
     The result is a few numbers per column, small enough to inline as literals.
     """
@@ -40,10 +43,12 @@ def exact_quantiles(
     if not names:
         return {}
     base = df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])
-    sizes = base.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-        *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(names))],
-    ).first()
+    if sizes is None:
+        row = base.agg(
+            *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
+            *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(names))],
+        ).first()
+        sizes = {name: (row[f"n{i}"], row[f"d{i}"]) for i, name in enumerate(names)}
 
     result: dict[str, list[float | None]] = {}
     large: list[int] = []
@@ -51,7 +56,7 @@ def exact_quantiles(
     filled = 0
     batches: list[list[int]] = []
     for i, name in enumerate(names):
-        n, d = sizes[f"n{i}"], sizes[f"d{i}"]
+        n, d = sizes[name]
         # approx_count_distinct is off by 5 % (one standard deviation); leave room for it.
         need = min(n, int(d * 1.3) + 1)
         if n == 0:
@@ -73,7 +78,7 @@ def exact_quantiles(
         for i in batch:
             result[names[i]] = list(row[f"q{i}"])
     if large:
-        result.update(_by_rank(base, {i: (names[i], sizes[f"n{i}"]) for i in large}, probs))
+        result.update(_by_rank(base, {i: (names[i], sizes[names[i]][0]) for i in large}, probs))
     return {name: result[name] for name in names}
 
 

@@ -63,10 +63,16 @@ def _mask(features: Sequence[str]) -> Column:
     return sum((F.col(f).isNotNull().cast("int") * F.lit(1 << i) for i, f in enumerate(features)), F.lit(0))
 
 
+def _range_number(name: str, cuts: list[float]) -> Column:
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(v) for v in cuts]), lambda v: v <= F.col(name)))
+
+
 def _cell_columns(features: Sequence[str], widths: Sequence[float], cuts: dict[str, list[float]]) -> list[Column]:
     """Range numbers of the widest and second widest feature a row has."""
     ranked = [f for _, f in sorted(zip(widths, features), key=lambda p: -p[0])]
-    where = {f: F.size(F.filter(F.array(*[F.lit(v) for v in cuts[f]]), lambda v, f=f: v <= F.col(f))) if cuts[f] else F.lit(0) for f in ranked}
+    where = {name: _range_number(name, cuts[name]) for name in ranked}
     first = F.coalesce(*[F.when(F.col(f).isNotNull(), where[f]) for f in ranked])
     second = F.lit(0)
     for i in range(len(ranked) - 1, -1, -1):

@@ -62,7 +62,7 @@ def fit_outliers(source: DataFrame | TableProfile, columns: Sequence[str] | None
         for x in p.numeric
         if p.pass_a[x]["non_null"] >= MIN_VALUES_Z
     }
-    mads = exact_quantiles(p.df, spread, [0.5])
+    mads = exact_quantiles(p.df, spread, [0.5], p.sizes)  # no more distinct distances than values
     fits = []
     for x in p.numeric:
         s = p.pass_a[x]
@@ -78,27 +78,24 @@ def fit_outliers(source: DataFrame | TableProfile, columns: Sequence[str] | None
 
 
 def _counts(p: TableProfile, fits: list[OutlierFit]) -> DataFrame:
-    """Per column and method counts, votes and overlap in a single aggregate."""
-    aggs, entries = [], []
+    """Per column and method counts, votes and overlap in a single aggregate.
+
+    The three flags of a value are packed into one small number first, so the
+    aggregate only tests bits.
+    """
+    codes, aggs, entries = [], [], []
     for i, fit in enumerate(fits):
         f = fit.flags(num(p.df, fit.column))
-        votes = sum((x.cast("int") for x in f.values()), F.lit(0))
-        aggs += [count_if(x).alias(f"{k}_{i}") for k, x in f.items()]
-        aggs += [
-            count_if(votes >= 2).alias(f"votes_{i}"),
-            count_if(votes >= 1).alias(f"any_{i}"),
-            count_if(f["iqr"] & f["zscore"]).alias(f"both_{i}"),
-        ]
-        entries.append(
-            F.struct(
-                F.lit(fit.column).alias("column"), F.lit(fit.n).cast("long").alias("non_null"),
-                F.lit(fit.lower).cast("double").alias("lower_bound"), F.lit(fit.upper).cast("double").alias("upper_bound"),
-                *[F.col(f"{k}_{i}").alias(f"{k}_count") for k in METHODS],
-                F.col(f"votes_{i}").alias("consensus_rows"), F.col(f"any_{i}").alias("flagged_rows"),
-                F.col(f"both_{i}").alias("iqr_and_zscore"),
-            )
-        )
-    return p.df.agg(*aggs).select(F.inline(F.array(*entries)))
+        codes.append(sum((F.when(x, 1 << bit).otherwise(0) for bit, x in enumerate(f.values())), F.lit(0)).alias(f"o{i}"))
+        tests = {f"{k}_count": f"o{i} & {1 << bit} != 0" for bit, k in enumerate(METHODS)} | {
+            "consensus_rows": f"bit_count(o{i}) >= 2", "flagged_rows": f"o{i} != 0", "iqr_and_zscore": f"o{i} & 3 = 3",
+        }
+        aggs += [F.expr(f"count_if({t})").alias(f"{k}_{i}") for k, t in tests.items()]
+        limits = ", ".join(f"{'double(null)' if v is None else repr(float(v)) + 'D'} AS {k}" for k, v in (("lower_bound", fit.lower), ("upper_bound", fit.upper)))
+        counts = ", ".join(f"{k}_{i} AS {k}" for k in tests)
+        name = fit.column.replace("\\", "\\\\").replace("'", "\\'")
+        entries.append(f"struct('{name}' AS column, {fit.n}L AS non_null, {limits}, {counts})")
+    return p.df.select(*codes).agg(*aggs).select(F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 def severity_label(max_pct: Column) -> Column:

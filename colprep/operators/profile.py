@@ -8,8 +8,9 @@ are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,26 +29,38 @@ QUARTILES = (0.25, 0.5, 0.75)
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, int_value, dbl_value, str_value, cnt)``, NULL as one group.
 
-    One unpivot and one shuffle for all columns. Partial aggregation before the
-    shuffle keeps a value that holds a third of the rows cheap.
+    Columns of one type family are unpivoted together, so there are at most
+    three shuffles whatever the number of columns, each on a native key. Partial
+    aggregation before the shuffle keeps a value that holds a third of the rows
+    cheap.
     """
     columns = list(columns or flat_columns(df))
-    structs = []
+    families: dict[str, list[str]] = {"int_value": [], "dbl_value": [], "str_value": []}
     for name in columns:
-        dtype, col = df.schema[name].dataType, c(name)
-        integer = isinstance(dtype, (*INTEGER_TYPES, T.BooleanType))
-        double = isinstance(dtype, (*FLOAT_TYPES, T.DecimalType))
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                (col.cast("long") if integer else F.lit(None).cast("long")).alias("int_value"),
-                # adding zero folds -0.0 into 0.0
-                (col.cast("double") + F.lit(0.0) if double else F.lit(None).cast("double")).alias("dbl_value"),
-                (F.lit(None).cast("string") if integer or double else col.cast("string")).alias("str_value"),
-            )
-        )
-    keys = ["column", "int_value", "dbl_value", "str_value"]
-    return df.select(F.inline(F.array(*structs))).groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+        dtype = df.schema[name].dataType
+        if isinstance(dtype, (*INTEGER_TYPES, T.BooleanType)):
+            families["int_value"].append(name)
+        elif isinstance(dtype, (*FLOAT_TYPES, T.DecimalType)):
+            families["dbl_value"].append(name)
+        else:
+            families["str_value"].append(name)
+    cast = {
+        "int_value": lambda x: x.cast("long"),
+        "dbl_value": lambda x: x.cast("double") + F.lit(0.0),  # folds -0.0 into 0.0
+        "str_value": lambda x: x.cast("string"),
+    }
+    types = {"int_value": "long", "dbl_value": "double", "str_value": "string"}
+    parts = []
+    for field, names in families.items():
+        if not names:
+            continue
+        cells = F.array(*[F.struct(F.lit(i).alias("id"), cast[field](c(x)).alias("v")) for i, x in enumerate(names)])
+        counts = df.select(F.inline(cells)).groupBy("id", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("id") + 1)
+        parts.append(counts.select(
+            label.alias("column"), *[(F.col("v") if f == field else F.lit(None)).cast(t).alias(f) for f, t in types.items()], "cnt"
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def vf_value() -> Column:
@@ -116,33 +129,60 @@ class TableProfile:
 
     @cached_property
     def pass_a(self) -> dict[str, dict]:
-        """One aggregate for all columns."""
+        """Counts, extremes and sketches, then moments centred on the means.
+
+        Two aggregates of plain sums over all columns. They compile to small
+        generated code, and centring keeps the higher moments accurate.
+        """
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, name in enumerate(self.columns):
             aggs.append(F.count(c(name)).alias(f"nn_{i}"))
             if name in self.numeric:
                 x = num(self.df, name)
-                aggs += [
-                    F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"),
-                    F.stddev_pop(x).alias(f"stdp_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"),
-                    F.skewness(x).alias(f"skew_{i}"), F.kurtosis(x).alias(f"kurt_{i}"), F.sum(x).alias(f"sum_{i}"),
-                    count_if(F.abs(x) == F.lit(float("inf"))).alias(f"inf_{i}"),
-                ]
+                aggs += [F.sum(x).alias(f"sum_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"),
+                         count_if(F.abs(x) == F.lit(float("inf"))).alias(f"inf_{i}"), F.approx_count_distinct(x).alias(f"hll_{i}")]
         row = self.df.agg(*aggs).first().asDict()
         out = {}
         for i, name in enumerate(self.columns):
-            stats = {k: row.get(f"{k}_{i}") for k in ("mean", "std", "stdp", "min", "max", "skew", "kurt", "sum", "inf")}
-            non_null = row[f"nn_{i}"]
-            out[name] = {"rows": row["rows"], "non_null": non_null, "missing": row["rows"] - non_null, **stats}
+            stats = {k: row.get(f"{k}_{i}") for k in ("sum", "min", "max", "inf", "hll")}
+            n = row[f"nn_{i}"]
+            out[name] = {"rows": row["rows"], "non_null": n, "missing": row["rows"] - n, **stats,
+                         "mean": stats["sum"] / n if n and stats["sum"] is not None else None,
+                         "std": None, "stdp": None, "skew": None, "kurt": None}
+        self._add_moments(out)
         return out
 
+    def _add_moments(self, out: dict[str, dict]) -> None:
+        names = [x for x in self.numeric if out[x]["mean"] is not None and math.isfinite(out[x]["mean"])]
+        aggs = []
+        for i, name in enumerate(names):
+            d = num(self.df, name) - F.lit(out[name]["mean"])
+            aggs += [F.sum(d * d).alias(f"d2_{i}"), F.sum(d * d * d).alias(f"d3_{i}"), F.sum(d * d * d * d).alias(f"d4_{i}")]
+        if not aggs:
+            return
+        row = self.df.agg(*aggs).first()
+        for i, name in enumerate(names):
+            s, n = out[name], out[name]["non_null"]
+            constant = s["min"] == s["max"]
+            d2 = 0.0 if constant else row[f"d2_{i}"]
+            s["stdp"] = math.sqrt(d2 / n)
+            s["std"] = math.sqrt(d2 / (n - 1)) if n > 1 else None
+            if d2 > 0:
+                s["skew"] = (row[f"d3_{i}"] / n) / (d2 / n) ** 1.5
+                s["kurt"] = (row[f"d4_{i}"] / n) / (d2 / n) ** 2 - 3.0
+
+    @property
+    def sizes(self) -> dict[str, tuple[int, int]]:
+        """Non-null and approximate distinct counts, for the quantile search."""
+        return {x: (self.pass_a[x]["non_null"], self.pass_a[x]["hll"]) for x in self.numeric}
+
     @property
     def rows(self) -> int:
         return next(iter(self.pass_a.values()))["rows"]
 
     @cached_property
     def quartiles(self) -> dict[str, list[float | None]]:
-        return exact_quantiles(self.df, {x: num(self.df, x) for x in self.numeric}, QUARTILES)
+        return exact_quantiles(self.df, {x: num(self.df, x) for x in self.numeric}, QUARTILES, self.sizes)
 
     @cached_property
     def vf(self) -> DataFrame:

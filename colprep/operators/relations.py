@@ -2,76 +2,118 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colprep.functions.exprs import num, numeric_columns, pearson, literal_rows
+from colprep.functions.exprs import literal_rows, num
+from colprep.operators.profile import TableProfile, _as_profile
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def _columns(source: DataFrame | TableProfile, columns: Sequence[str] | None) -> tuple[TableProfile, list[str]]:
+    p = _as_profile(source)
+    return p, list(columns or p.numeric)
+
+
+def correlation_pairs(source: DataFrame | TableProfile, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column1, column2, r)`` for every unordered pair, pairwise complete.
 
-    All pairs are computed by one aggregate: the data is read once and nothing
-    but one row of partial sums per task is exchanged.
+    All pairs come from one aggregate of sums of products of centred values:
+    one sum for a pair without missing values, six for one where the rows in
+    common have to be singled out. The data is read once and each task hands on
+    a single row.
     """
-    names = list(columns or numeric_columns(df))
+    p, names = _columns(source, columns)
+    spark, schema = p.spark, "column1 string, column2 string, r double"
     pairs = list(combinations(names, 2))
     if not pairs:
-        return literal_rows(df.sparkSession, [], "column1 string, column2 string, r double")
-    x = {name: num(df, name) for name in names}
-    row = df.agg(*[pearson(x[a], x[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.array(
-        *[F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    )
-    return row.select(F.inline(entries))
+        return literal_rows(spark, [], schema)
+    stats = p.pass_a
+    usable = {x: i for i, x in enumerate(names) if stats[x]["mean"] is not None and math.isfinite(stats[x]["mean"])}
+    centred = p.df.select(*[(num(p.df, x) - F.lit(stats[x]["mean"])).alias(f"d{i}") for x, i in usable.items()])
+    aggs: dict[str, None] = {}
+    for a, b in pairs:
+        if a in usable and b in usable:
+            aggs.update(dict.fromkeys(_pair_sums(f"d{usable[a]}", f"d{usable[b]}", _complete(stats, a, b))))
+    found = centred.agg(*[F.expr(e).alias(f"s{i}") for i, e in enumerate(aggs)]).first() if aggs else None
+    value = {e: found[i] for i, e in enumerate(aggs)}
+    rows = []
+    for a, b in pairs:
+        r = None
+        if a in usable and b in usable:
+            x, y = f"d{usable[a]}", f"d{usable[b]}"
+            s = [value[e] for e in _pair_sums(x, y, _complete(stats, a, b))]
+            if _complete(stats, a, b):
+                n = stats[a]["non_null"]
+                r = _ratio(s[0], *[stats[q]["stdp"] ** 2 * n for q in (a, b)])
+            elif s[1]:
+                xy, n, sx, sy, xx, yy = s
+                vx, vy = xx - sx * sx / n, yy - sy * sy / n
+                # what is left of a constant is rounding noise
+                vx, vy = (v if v > 1e-12 * q else 0.0 for v, q in ((vx, xx), (vy, yy)))
+                r = _ratio(xy - sx * sy / n, vx, vy) if n > 1 else None
+        rows.append((a, b, r))
+    return literal_rows(spark, rows, schema)
+
 
+def _complete(stats: dict, a: str, b: str) -> bool:
+    return not stats[a]["missing"] and not stats[b]["missing"]
+
+
+def _pair_sums(x: str, y: str, complete: bool) -> list[str]:
+    if complete:
+        return [f"sum({x} * {y})"]
+    return [
+        f"sum({x} * {y})", f"count({x} * {y})", f"sum(if({y} IS NULL, NULL, {x}))", f"sum(if({x} IS NULL, NULL, {y}))",
+        f"sum(if({y} IS NULL, NULL, {x} * {x}))", f"sum(if({x} IS NULL, NULL, {y} * {y}))",
+    ]
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, max_columns: int | None = 20) -> DataFrame:
+
+def _ratio(cross: float, xx: float, yy: float) -> float | None:
+    return max(-1.0, min(1.0, cross / math.sqrt(xx * yy))) if xx > 0 and yy > 0 else None
+
+
+def correlation_matrix(source: DataFrame | TableProfile, columns: Sequence[str] | None = None, max_columns: int | None = 20) -> DataFrame:
     """Full matrix in long form, diagonal included; NULL on constant columns."""
-    names = list(columns or numeric_columns(df))[:max_columns]
-    pairs = correlation_pairs(df, names)
-    x = {name: num(df, name) for name in names}
-    varies = df.agg(*[F.when(F.stddev_samp(x[n]) > 0, F.lit(1.0)).alias(f"d{i}") for i, n in enumerate(names)])
-    diagonal = varies.select(
-        F.inline(F.array(*[F.struct(F.lit(n).alias("column1"), F.lit(n).alias("column2"), F.col(f"d{i}").alias("r")) for i, n in enumerate(names)]))
-    )
-    both_ways = pairs.select(
-        F.inline(F.array(F.struct("column1", "column2", "r"), F.struct(F.col("column2").alias("column1"), F.col("column1").alias("column2"), "r")))
-    )
-    return both_ways.unionByName(diagonal)
+    p, names = _columns(source, columns)
+    names = names[:max_columns]
+    pairs = correlation_pairs(p, names)
+    diagonal = literal_rows(p.spark, [(x, x, 1.0 if p.pass_a[x]["std"] else None) for x in names], "column1 string, column2 string, r double")
+    swapped = pairs.select(F.col("column2").alias("column1"), F.col("column1").alias("column2"), "r")
+    return pairs.unionByName(swapped).unionByName(diagonal)
 
 
-def high_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.7) -> DataFrame:
+def high_pairs(source: DataFrame | TableProfile, columns: Sequence[str] | None = None, threshold: float = 0.7) -> DataFrame:
     return (
-        correlation_pairs(df, columns)
+        correlation_pairs(source, columns)
         .where(F.abs("r") > threshold)
         .select("column1", "column2", F.round("r", 3).alias("correlation"))
     )
 
 
-def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, candidates: int | None = 10, k: int = 5, minimum: float = 0.1) -> DataFrame:
+def top_correlations(source: DataFrame | TableProfile, columns: Sequence[str] | None = None, candidates: int | None = 10, k: int = 5, minimum: float = 0.1) -> DataFrame:
     """Per column the ``k`` strongest of its first ``candidates`` partners.
 
     ``candidates`` counts the other numeric columns in table order; ``None``
     looks at all of them.
     """
-    names = list(columns or numeric_columns(df))
+    p, names = _columns(source, columns)
     allowed = [
         (a, b)
         for a in names
         for b in [x for x in names if x != a][:candidates]
     ]
-    pairs = correlation_pairs(df, names).where(F.abs("r") > minimum)
+    pairs = correlation_pairs(p, names).where(F.abs("r") > minimum)
     both_ways = pairs.select(
         F.inline(F.array(
             F.struct(F.col("column1").alias("column"), F.col("column2").alias("other"), "r"),
             F.struct(F.col("column2").alias("column"), F.col("column1").alias("other"), "r"),
         ))
     )
-    offered = literal_rows(df.sparkSession, allowed, "column string, other string")
+    offered = literal_rows(p.spark, allowed, "column string, other string")
     w = Window.partitionBy("column").orderBy(F.abs("r").desc(), "other")
     return (
         both_ways.join(F.broadcast(offered), ["column", "other"], "left_semi")

@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colprep.operators.profile import TableProfile
 from colprep.operators.quality import column_metrics, recommend_from
 from colprep.operators.relations import top_correlations
 
 
 def analyze_all(df: DataFrame, order_by: Sequence[str], as_of_year: int, match: str = "token", buckets: int | None = None) -> DataFrame:
     """Profile, missing pattern, outliers, distribution, quality, relations, rules and advice."""
-    metrics = column_metrics(df, order_by, as_of_year, match, buckets)
+    profile = TableProfile(df)
+    metrics = column_metrics(profile, order_by, as_of_year, match, buckets)
     advice = recommend_from(metrics).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "method"))), lambda e: e["method"]).alias("recommended")
     )
-    related = top_correlations(df).groupBy("column").agg(
+    related = top_correlations(profile).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda e: e["other"]).alias("correlated_with")
     )
     return (
