@@ -85,6 +85,8 @@ def assign_buckets(df: DataFrame, order_by: Sequence[str], buckets: int | None =
     accuracy = max(1000, 20 * buckets)
     points = df.select(codes[0].alias("x")).agg(F.percentile_approx("x", probs, accuracy)).first()[0] or []
     cuts, hot = _cuts(points)
+    if not cuts:
+        return df.withColumn(BUCKET, F.lit(0).cast("long"))
     bucketed = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol="__code", outputCol="__b0", handleInvalid="keep"
     ).transform(df.withColumn("__code", codes[0]))

@@ -310,25 +310,25 @@ def missing_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def sample_values(df: DataFrame, order_by: Sequence[str], k: int = 3, width: int = 20) -> DataFrame:
+def sample_values(df: DataFrame, order_by: Sequence[str], k: int = 3, width: int = 20, head: int = 1_000) -> DataFrame:
     """The first ``k`` non-null values per column in row order, cut at ``width``.
 
-    A ``min``-style top-k: the group limit keeps ``k`` rows per column and task.
+    The first rows usually hold them all. Columns that start with a long gap are
+    looked up one by one. Both are bounded take-ordered plans, not a sort.
     """
-    keys = [c(x).alias(f"k{i}") for i, x in enumerate(order_by)]
     names = flat_columns(df)
-    entries = F.array(*[F.struct(F.lit(x).alias("column"), c(x).cast("string").alias("value")) for x in names])
-    w = Window.partitionBy("column").orderBy(*[f"k{i}" for i in range(len(keys))])
-    text = F.when(F.length("value") > width, F.concat(F.substring("value", 1, width), F.lit("..."))).otherwise(F.col("value"))
-    return (
-        df.select(*keys, F.inline(entries))
-        .where(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .groupBy("column")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))).alias("v"))  # at most k entries
-        .select("column", F.concat_ws(", ", F.transform("v", lambda e: e["t"])).alias("samples"))
-    )
+    keys = [c(x) for x in order_by]
+    first = bounded(df.orderBy(*keys).limit(head).select(*[c(x).cast("string").alias(x) for x in names], F.struct(*keys).alias("__key")))
+    found = first.agg(*[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(names)]).first()
+    rows = []
+    for i, x in enumerate(names):
+        if found[f"n{i}"] >= k:
+            source = first.where(c(x).isNotNull()).orderBy("__key")
+        else:
+            source = df.where(c(x).isNotNull()).orderBy(*keys).select(c(x).cast("string").alias(x))
+        texts = [r[0] for r in source.select(c(x)).limit(k).collect()]
+        rows.append((x, ", ".join(t[:width] + "..." if len(t) > width else t for t in texts)))
+    return literal_rows(df.sparkSession, rows, "column string, samples string")
 
 
 # --- distribution -----------------------------------------------------------
