@@ -10,7 +10,6 @@ from catalog.base import (
 from colprep.operators import missing as M
 from colprep.operators import profile as P
 from colprep.operators import typing as TY
-from colprep.plans.analyze import analyze_all
 from colprep.session import scratch_dir
 from colprep.sources import files
 from colprep.sources.fingerprint import fingerprint
@@ -152,7 +151,16 @@ add("profile_moments", lambda s, sf: rnd(P.profile_moments(lineitem(s, sf)), 5,
     _moments("lineitem", x, f"n AS non_null, {r('a', 4)} AS mean, {r('sd', 4)} AS std, {r(_SKEW, 5)} AS skewness, {r(_KURT, 5)} AS kurtosis")
     for x in numeric_of("lineitem")))
 
-add("profile_summary_text", lambda s, sf: P.profile_summary_text(survey(s, sf)))
+
+
+def _summary_text(x, t):
+    span = f"concat('. Range: ', printf('%.2f', CAST(min({x}) AS DOUBLE)), ' to ', printf('%.2f', CAST(max({x}) AS DOUBLE)))" if t != "string" else "''"
+    return f"""SELECT '{x}' AS "column", concat('Column ''{x}'' has ', format('{{:,}}', count(*)), ' total values',
+  CASE WHEN count({x}) < count(*) THEN concat(', ', format('{{:,}}', count(*) - count({x})), ' missing (', printf('%.1f', 100.0E0 * (count(*) - count({x})) / count(*)), '%)') ELSE '' END,
+  ', ', format('{{:,}}', count(DISTINCT {x})), ' unique values', {span}) AS summary FROM fx_survey"""
+
+
+add("profile_summary_text", lambda s, sf: P.profile_summary_text(survey(s, sf)), cte("fx_survey") + union(_summary_text(x, t) for x, t in SCHEMAS["fx_survey"].items()))
 
 add("profile_dataset", lambda s, sf: rnd(P.profile_dataset(survey(s, sf))), cte("fx_survey") + f"""
 SELECT n AS rows, CAST({len(_SURVEY_COLS)} AS BIGINT) AS columns, m AS missing_cells, {r(f'100.0E0 * m / (n * {len(_SURVEY_COLS)})')} AS missing_pct
@@ -212,9 +220,6 @@ add("profile_overview", lambda s, sf: rnd(P.profile_overview(survey(s, sf))), ct
     _info("fx_survey", x, t, f""", {r(f'100.0E0 * (count(*) - count({x})) / count(*)')} AS missing_pct, {r(f'100.0E0 * count(DISTINCT {x}) / count(*)')} AS unique_pct""")
     for x, t in SCHEMAS["fx_survey"].items()))
 
-add("analyze_all", lambda s, sf: analyze_all(lineitem(s, sf), LINEITEM_ORDER, 2026))
-add("analyze_survey", lambda s, sf: analyze_all(survey(s, sf), ["respondent_id"], 2026))
-
 add("fmt_number", lambda s, sf: lineitem(s, sf).select(
     "l_orderkey", "l_linenumber", "l_extendedprice",
     P.format_number(F.col("l_extendedprice") * F.col("l_quantity")).alias("amount"), P.format_number(F.col("l_partkey"), integral=True).alias("part"),

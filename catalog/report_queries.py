@@ -64,13 +64,15 @@ add("unweighted_summary", lambda s, sf: rnd(W.unweighted_summary(survey(s, sf),
   {', '.join(f"{r(f'quantile_cont(CAST({x} AS DOUBLE), {p})', 4)} AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75))}, count(DISTINCT {x}) AS unique_values FROM fx_survey""" for x in _WCOLS))
 add("unweighted_top5", lambda s, sf: W.unweighted_top(survey(s, sf), "segment", _DW), _S + """
 SELECT 'segment' AS "column", segment AS value, count(*) AS count FROM fx_survey GROUP BY segment ORDER BY count DESC, value LIMIT 5""")
-# The t critical value depends on the effective sample size and has no SQL form;
-# the oracle covers every other figure, unit tests the quantile itself.
 add("moe_numeric", lambda s, sf: rnd(W.moe_numeric(survey(s, sf), _WCOLS, _DW).drop("critical_value", "margin_of_error", "ci_low", "ci_high"), 4), _S + union(
     f"""SELECT '{x}' AS "column", 0.95E0 AS confidence_level, n AS sample_size, {r('sw', 4)} AS total_weight, {r('sx / sw', 4)} AS weighted_mean,
   {r('sqrt(va / (sw * sw / sww))', 4)} AS standard_error, {r('n / (sw * sw / sww)', 4)} AS design_effect, {r('sw * sw / sww', 4)} AS effective_sample_size FROM {wsum(x)}""" for x in _WCOLS))
-add("moe_numeric_interval", lambda s, sf: rnd(W.moe_numeric(survey(s, sf), _WCOLS, _DW), 4))
 _Z = normal_quantile(0.975)
+# Expansion of the t quantile in 1/df; exact to ten digits at these sample sizes.
+_T = f"""({_Z!r} + {(_Z**3 + _Z) / 4!r} / df + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / (df * df) + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / (df * df * df))"""
+add("moe_numeric_interval", lambda s, sf: rnd(W.moe_numeric(survey(s, sf), _WCOLS, _DW).select("column", "critical_value", "margin_of_error", "ci_low", "ci_high"), 4), _S + union(
+    f"""SELECT '{x}' AS "column", {r(_T, 4)} AS critical_value, {r(f'{_T} * se', 4)} AS margin_of_error, {r(f'm - {_T} * se', 4)} AS ci_low, {r(f'm + {_T} * se', 4)} AS ci_high
+FROM (SELECT sx / sw AS m, sqrt(va / (sw * sw / sww)) AS se, sw * sw / sww - 1 AS df FROM {wsum(x)})""" for x in _WCOLS))
 add("moe_categorical", lambda s, sf: rnd(W.moe_categorical(survey(s, sf), "segment", _DW)), _S + f"""
 SELECT segment AS category, {r('p')} AS proportion, {r('m')} AS margin_of_error, {r('p - m')} AS ci_low, {r('p + m')} AS ci_high FROM (
   SELECT segment, p, {_Z!r} * sqrt(p * (1 - p) / ne * (n / ne)) AS m FROM (SELECT segment, sum(design_weight) / (SELECT sum(design_weight) FROM fx_survey) AS p FROM fx_survey GROUP BY segment),
@@ -137,7 +139,18 @@ add("audit_by_column", lambda s, sf: RC.audit_by_column(log(s, sf)), _L + """
 SELECT "column", count(*) AS operations, max_by(method, seq) AS last_method, max_by(ts, seq) AS last_applied, CAST(sum(rows_changed) AS BIGINT) AS rows_changed FROM log GROUP BY "column\"""")
 add("audit_methods", lambda s, sf: RC.audit_methods(log(s, sf)), _L + """
 SELECT method_type, method, count(*) AS operations, count(DISTINCT "column") AS columns, CAST(sum(rows_changed) AS BIGINT) AS rows_changed FROM log GROUP BY method_type, method""")
-add("audit_imputed", lambda s, sf: RC.audit_imputed(log(s, sf)))
+
+
+def _imputed(s, sf):
+    number = F.when(F.col("column").isin("income", "age"), F.round(F.expr("try_cast(imputed_value AS double)"), 4))
+    text = F.when(~F.col("column").isin("income", "age"), F.col("imputed_value"))
+    return RC.audit_imputed(log(s, sf)).select("seq", "column", "method", number.alias("number"), text.alias("text"), "rows_imputed", "missing_after")
+
+
+add("audit_imputed", _imputed, _L + f"""
+SELECT seq, "column", method, CASE seq WHEN 1 THEN round({_MED}, 4) WHEN 2 THEN round((SELECT avg(age) FROM fx_survey), 4) END AS number,
+  CASE seq WHEN 3 THEN 'Missing' WHEN 6 THEN {_MODE} END AS text, missing_before - missing_after AS rows_imputed, missing_after
+FROM log WHERE method_type = 'missing_values' AND success""")
 
 # --- charts -----------------------------------------------------------------
 
@@ -181,7 +194,6 @@ add("report_executive", lambda s, sf: RP.executive(survey(s, sf), metrics(s, sf)
 SELECT n AS total_rows, CAST({_K} AS BIGINT) AS total_columns, m AS total_missing, mp AS missing_pct, CASE WHEN mp < 5 THEN 'low' WHEN mp < 15 THEN 'moderate' ELSE 'high' END AS missing_level,
   sc AS avg_quality_score, CASE WHEN sc >= 80 THEN 'acceptable' WHEN sc >= 60 THEN 'conditional' ELSE 'caution' END AS quality_status,
   CAST({len(_OPS)} AS BIGINT) AS total_operations, CAST({len({o[2] for o in _OPS})} AS BIGINT) AS columns_cleaned FROM p""")
-add("report_detailed", lambda s, sf: rnd(RP.detailed(metrics(s, sf), log(s, sf))))
 add("report_methodology", lambda s, sf: RP.methodology(log(s, sf)).drop("purpose", "rationale", "applicability"), _L + """
 SELECT method, count(*) AS operations, CAST(sum(rows_changed) AS BIGINT) AS rows_changed FROM log GROUP BY method""")
 add("report_comprehensive", lambda s, sf: RP.comprehensive(survey(s, sf), metrics(s, sf), log(s, sf), YEAR, _DW))

@@ -318,16 +318,14 @@ def sample_values(df: DataFrame, order_by: Sequence[str], k: int = 3, width: int
     """
     names = flat_columns(df)
     keys = [c(x) for x in order_by]
-    first = bounded(df.orderBy(*keys).limit(head).select(*[c(x).cast("string").alias(x) for x in names], F.struct(*keys).alias("__key")))
-    found = first.agg(*[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(names)]).first()
+    texts = [c(x).cast("string").alias(f"t{i}") for i, x in enumerate(names)]
+    first = df.orderBy(*keys).limit(head).select(*texts).collect()
     rows = []
     for i, x in enumerate(names):
-        if found[f"n{i}"] >= k:
-            source = first.where(c(x).isNotNull()).orderBy("__key")
-        else:
-            source = df.where(c(x).isNotNull()).orderBy(*keys).select(c(x).cast("string").alias(x))
-        texts = [r[0] for r in source.select(c(x)).limit(k).collect()]
-        rows.append((x, ", ".join(t[:width] + "..." if len(t) > width else t for t in texts)))
+        found = [r[i] for r in first if r[i] is not None][:k]
+        if len(found) < k and len(first) == head:
+            found = [r[0] for r in df.where(c(x).isNotNull()).orderBy(*keys).limit(k).select(texts[i]).collect()]
+        rows.append((x, ", ".join(t[:width] + "..." if len(t) > width else t for t in found)))
     return literal_rows(df.sparkSession, rows, "column string, samples string")
 
 
