@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colprep.session import configure
 from colprep.sources.files import read_table
 
 YEAR = 2026  # the year in which ages are judged
@@ -69,6 +70,7 @@ LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table or a fixture over one."""
+    configure(spark)
     if name not in FIXTURES:
         return read_table(spark, f"{sf}/{name}.parquet")
     text = re.sub(r"FROM (\w+)$", lambda m: f"FROM parquet.`{sf}/{m.group(1)}.parquet`", FIXTURES[name])

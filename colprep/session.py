@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Column expressions otherwise record their Python call site, which takes
+    # longer than planning when hundreds of them are built for a wide table.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -28,6 +31,13 @@ def get_session(app: str = "colprep", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> None:
+    """Apply the package defaults to a session somebody else built."""
+    for key, value in DEFAULTS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables.
 
