@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colprep.functions.exprs import c, is_text
+from colprep.functions.exprs import DATETIME_TYPES, FLOAT_TYPES, INTEGER_TYPES, c, is_text
 
 MAX_BUCKETS = 4096
 ROWS_PER_BUCKET = 2_000_000
@@ -134,13 +134,27 @@ def _array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+_FIXED_WIDTH = (*INTEGER_TYPES, *FLOAT_TYPES, *DATETIME_TYPES)
+
+
+def order_key(df: DataFrame, order_by: Sequence[str]) -> Column:
+    """The order key as one comparable value.
+
+    A single fixed-width key stays a plain column: minima and maxima of it run
+    in a hash aggregate, while those of a struct or text need a sort first.
+    """
+    if len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, _FIXED_WIDTH):
+        return c(order_by[0])
+    return F.struct(*[c(k) for k in order_by])
+
+
 class OrderedFrame:
     """A DataFrame cut into range buckets, ready for local windows."""
 
     def __init__(self, df: DataFrame, order_by: Sequence[str], buckets: int | None = None):
         self.order_by = [order_by] if isinstance(order_by, str) else list(order_by)
         self.df = assign_buckets(df, self.order_by, buckets)
-        self.key = F.struct(*[c(k) for k in self.order_by])
+        self.key = order_key(df, self.order_by)
 
     def window(self, reverse: bool = False):
         keys = [c(k).desc() if reverse else c(k).asc() for k in self.order_by]
@@ -158,6 +172,24 @@ class OrderedFrame:
         """One row per bucket, by a map-side combined aggregate."""
         return self.df.groupBy(BUCKET).agg(*[a.alias(k) for k, a in aggs.items()])
 
+    def edge_value(self, x: Column, name: str, last: bool = True, text: bool = False) -> DataFrame:
+        """Last (or first) non-null value of each bucket.
+
+        Text cannot be held in a hash aggregate buffer. With a fixed-width key
+        the keys are found first and their rows looked up by a broadcast of one
+        key per bucket.
+        """
+        present = F.when(x.isNotNull(), self.key)
+        pick, extreme = (F.max_by, F.max) if last else (F.min_by, F.min)
+        if not text or len(self.order_by) > 1 or not isinstance(self.df.schema[self.order_by[0]].dataType, _FIXED_WIDTH):
+            return self.summary(**{name: pick(x, present)})
+        keys = self.summary(__at=extreme(present))
+        found = (
+            self.df.join(F.broadcast(keys.withColumnRenamed(BUCKET, "__b")), (F.col(BUCKET) == F.col("__b")) & (self.key == F.col("__at")))
+            .groupBy(BUCKET).agg(F.min(x).alias(name))  # one row per bucket even if a key repeats
+        )
+        return keys.select(BUCKET).join(F.broadcast(found), BUCKET, "left")
+
     @staticmethod
     def before(reverse: bool = False):
         """Window over the bucket summary: all buckets ahead of this one."""

@@ -139,8 +139,7 @@ def _directional(df, column, params, output):
     dtype = df.schema[column].dataType
     x = num(df, column) if is_numeric(dtype) else c(column)
     reverse = params["reverse"]
-    pick = F.min_by if reverse else F.max_by
-    carried = o.summary(v=pick(x, F.when(x.isNotNull(), o.key))).select(
+    carried = o.edge_value(x, "v", last=not reverse, text=not is_numeric(dtype)).select(
         BUCKET, F.last("v", ignorenulls=True).over(o.before(reverse)).alias("__carry")
     )
     rows = o.df.withColumn("__local", F.last(x, ignorenulls=True).over(o.running(reverse)))
@@ -377,8 +376,12 @@ def _dedupe(df, column, params, output):
     of the table does not gather its rows in one task.
     """
     keys = params["order_by"]
-    first = df.where(c(column).isNotNull()).groupBy(c(column)).agg(F.min(F.struct(*[c(k).alias(f"__k{i}") for i, k in enumerate(keys)])).alias("__f"))
-    marks = first.select(*[F.col(f"__f.__k{i}").alias(f"__k{i}") for i in range(len(keys))], F.lit(True).alias("__first"))
+    groups = df.where(c(column).isNotNull()).groupBy(c(column))
+    if len(keys) == 1:  # a plain minimum runs in a hash aggregate
+        marks = groups.agg(F.min(c(keys[0])).alias("__k0")).select("__k0", F.lit(True).alias("__first"))
+    else:
+        first = groups.agg(F.min(F.struct(*[c(k).alias(f"__k{i}") for i, k in enumerate(keys)])).alias("__f"))
+        marks = first.select(*[F.col(f"__f.__k{i}").alias(f"__k{i}") for i in range(len(keys))], F.lit(True).alias("__first"))
     same = [c(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     condition = same[0]
     for s in same[1:]:

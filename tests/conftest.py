@@ -12,7 +12,7 @@ from colprep.session import get_session  # noqa: E402
 def spark():
     session = get_session(
         "colprep-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
