@@ -90,11 +90,7 @@ class Recipe:
             except ValueError as error:
                 steps.append(Step(op, None, str(error)))
                 continue
-            current = fitted.transform(current)
-            if materialize and not fitted.row_wise:
-                path = scratch_dir(df.sparkSession, "recipe")
-                current.write.parquet(path)
-                current = df.sparkSession.read.parquet(path)
+            current = _advance(current, fitted, materialize)
             steps.append(Step(op, fitted, None))
         return FittedRecipe(tuple(steps))
 
@@ -126,19 +122,30 @@ class FittedRecipe:
         return df
 
 
+def _advance(df: DataFrame, fitted: Fitted, materialize: bool) -> DataFrame:
+    """The table after one step, written out when the step shuffled its rows."""
+    out = fitted.transform(df)
+    if not materialize or fitted.row_wise:
+        return out
+    path = scratch_dir(df.sparkSession, "recipe")
+    out.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 LOG_SCHEMA = (
     "seq int, ts string, column string, method_type string, method string, parameters map<string,string>, success boolean, "
     "error string, imputed_value string, rows_changed long, missing_before long, missing_after long"
 )
 
 
-def operation_log(df: DataFrame, recipe: Recipe) -> DataFrame:
+def operation_log(df: DataFrame, recipe: Recipe, materialize: bool = False) -> DataFrame:
     """One row per active operation with its effect on the data.
 
-    The log has as many rows as the recipe has steps.
+    The log has as many rows as the recipe has steps. ``materialize`` works as
+    in :meth:`Recipe.fit`.
     """
     rows, current = [], df
-    for seq, step in enumerate(recipe.fit(df).steps, 1):
+    for seq, step in enumerate(recipe.fit(df, materialize).steps, 1):
         op = step.operation
         params = {k: str(v) for k, v in op.parameters.items()}
         if step.fitted is None:
@@ -155,7 +162,7 @@ def operation_log(df: DataFrame, recipe: Recipe) -> DataFrame:
         value = step.fitted.params.get("imputed_value", step.fitted.params.get("category_name"))
         rows.append((seq, op.timestamp, op.column, op.method_type, op.method, params, True, None,
                      None if value is None else str(value), effect["changed"], effect["before"], effect["after"]))
-        current = step.fitted.transform(current)
+        current = _advance(current, step.fitted, materialize)
     return literal_rows(df.sparkSession, rows, LOG_SCHEMA)
 
 

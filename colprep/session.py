@@ -32,9 +32,9 @@ def get_session(app: str = "colprep", master: str | None = None, **conf: str) ->
 
 
 def configure(spark: SparkSession) -> None:
-    """Apply the package defaults to a session somebody else built."""
+    """Apply the package defaults to a session somebody else built, static ones excepted."""
     for key, value in DEFAULTS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.isModifiable(key) and spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
 
 

@@ -70,3 +70,11 @@ def test_top_values_are_limited_before_the_shuffle(stored):
     text = plan(P.dist_top(stored, ["gender"]))
     assert re.search(r"WindowGroupLimit .*Partial", text)
     assert re.search(r"WindowGroupLimit .*Partial", plan(S.rule_samples(stored, ["id"], 2026)))
+
+
+def test_configure_leaves_static_settings_alone(spark):
+    from colprep.session import configure
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    configure(spark)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
