@@ -6,11 +6,13 @@ with the same words are one class from the start. Every set is embedded in ``COO
 * Chosen paths. A run starts with one node. Every node samples coordinates with probability 1 / (similarity *
   COORDINATES) and at least one; a set moves into the child named by its value there. Nodes of at most
   ``SMALL_NODE`` sets are compared by brute force on the embedded values, with a bound well below the similarity
-  asked for; larger ones are split again. Nodes that are still large after ``DEPTH`` splits agree in so many
+  asked for. In a larger one, sets are compared with the smallest one, the pivot: those near it get an edge to it,
+  and those so near that whatever is similar to them must be near the pivot too (Jaccard distance is a metric) need
+  not go on; the others are split again. Nodes that are still large after ``DEPTH`` splits agree in so many
   coordinates that they are kept together. Nothing is dropped. Pairs are never written: a node returns, for each
   of its sets, one edge of a spanning forest.
-* Runs repeat in rounds. The share of a round's edges that earlier rounds had already connected estimates the
-  recall so far; rounds go on until it reaches ``RECALL`` (at least two rounds).
+* Runs repeat in rounds. Of the sets for which a round finds a partner, the share that earlier rounds had found one
+  for estimates the recall so far; rounds go on until it reaches ``RECALL`` (at least two rounds).
 * Exact check. Edges are contracted to clusters; the whole shingle sets of a cluster's texts are compared exactly,
   in pairs of blocks of at most ``BLOCK`` sets, so a cluster of any size is spread over tasks. Each block returns
   per set the number of documents it is linked to and an edge to its block's smallest linked set.
@@ -43,6 +45,7 @@ RECALL = 0.99
 MAX_ROUNDS = 8
 SMALL_NODE = 128
 DEPTH = 6
+SETTLED = 0.75  # a set this near the pivot of a large node does not go on: 0.8 + 0.75 - 1 is above CANDIDATE
 CANDIDATE = 0.5  # share of equal coordinates from which two sets are checked exactly
 BLOCK = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,25 +106,39 @@ def children(node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, mixed(lots[row, coordinate] ^ mixed(sketch[row, coordinate].astype(np.uint64) + node[row]))
 
 
-def _split(rows: DataFrame, runs: list[int] | None = None) -> DataFrame:
-    """(key, node) of the next level; rows hold key and sketch, and node unless runs start."""
+def _start(rows: DataFrame, runs: list[int]) -> DataFrame:
+    """(key, node) of the first level of some runs."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            if runs is None:
-                starts = [batch.column("node").to_numpy(zero_copy_only=False).astype(np.uint64)]
-            else:
-                starts = [np.full(batch.num_rows, mixed(np.array([r + 1], np.uint64))[0]) for r in runs]
-            for node in starts:
-                row, child = children(node, sketch)
+            for number in runs:
+                row, child = children(np.full(batch.num_rows, mixed(np.array([number + 1], np.uint64))[0]), sketch)
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(child.astype(np.int64))], names=["key", "node"])
 
     return rows.mapInArrow(run, "key binary, node long")
 
 
+def _split(rows: DataFrame) -> DataFrame:
+    """Members of large nodes (key, node, sketch, pivot, pivot_sketch): edges (key, b) to the pivot, children (key, node) of the rest."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketch, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
+            equal = (sketch == pivot).mean(1)
+            near, rest = np.flatnonzero(equal >= CANDIDATE), np.flatnonzero(equal < SETTLED)
+            row, child = children(batch.column("node").to_numpy(zero_copy_only=False).astype(np.uint64)[rest], sketch[rest])
+            key = batch.column("key")
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(near)), pa.nulls(len(near), pa.int64()), batch.column("pivot").take(pa.array(near))], names=["key", "node", "b"])
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(rest[row])), pa.array(child.astype(np.int64)), pa.nulls(len(row), pa.binary())], names=["key", "node", "b"])
+
+    return rows.mapInArrow(run, "key binary, node long, b binary")
+
+
 def _spanning(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest row that every row is connected to."""
     label = np.arange(count)
@@ -185,22 +202,24 @@ def _compare_small(rows: DataFrame) -> DataFrame:
 
 def run_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
     """Spanning edges found by some runs, as a written table."""
-    found, level = [], _split(sets, runs)
+    found, level = [], written(_start(sets, runs), "nodes")
     for depth in range(1, DEPTH + 1):
-        level = written(level.distinct() if depth > 1 else level, "nodes")
-        sizes = level.groupBy("node").count().where("count > 1")
+        sizes = level.groupBy("node").agg(F.count("*").alias("count"), F.min("key").alias("pivot")).where("count > 1")
         shared = level.join(sizes, "node")
         small = shared.where(F.col("count") <= SMALL_NODE).select("node", "key").join(sets, "key")
         found.append(_compare_small(small.select("node", "key", "sketch")))
-        large = shared.where(F.col("count") > SMALL_NODE).select("node", "key")
+        large = sizes.where(F.col("count") > SMALL_NODE)
         if large.isEmpty():
             break
+        members = shared.where(F.col("count") > SMALL_NODE).select("node", "key", "pivot")
         if depth == DEPTH:
-            heads = large.groupBy("node").agg(F.min("key").alias("b"))
-            found.append(large.join(heads, "node").where("key != b").select(F.col("key").alias("a"), "b"))
-        else:
-            level = _split(large.join(sets, "key").select("key", "node", "sketch"))
-    return written(reduce(DataFrame.unionAll, found).distinct(), "edges")
+            found.append(members.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+            break
+        pivots = large.select("node", "pivot").join(sets.withColumnsRenamed({"key": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "pivot_sketch")
+        step = written(_split(members.join(sets, "key").join(pivots, "node").select("key", "node", "sketch", "pivot", "pivot_sketch")), "nodes")
+        found.append(step.where("b IS NOT NULL AND key != b").select(F.col("key").alias("a"), "b"))
+        level = step.where("node IS NOT NULL").select("key", "node")
+    return written(reduce(DataFrame.unionAll, found), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,20 +242,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def clusters(sets: DataFrame, recall: float = RECALL) -> DataFrame:
     """(key, root) of the sets that may have a similar one; rounds of runs until the estimated recall is reached."""
+    def touched(edges: DataFrame) -> DataFrame:
+        return edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
     edges = run_edges(sets, list(range(RUNS)))
-    done = written(components(edges), "clusters")
     for number in range(1, MAX_ROUNDS):
         more = run_edges(sets, list(range(number * RUNS, (number + 1) * RUNS)))
-        a = done.select(F.col("key").alias("a"), F.col("root").alias("ra"))
-        b = done.select(F.col("key").alias("b"), F.col("root").alias("rb"))
-        known = more.join(a, "a", "left").join(b, "b", "left").agg(F.count("*").alias("n"), F.sum((F.coalesce("ra", "a") == F.coalesce("rb", "b")).cast("long")).alias("known")).first()
-        enough = (known["known"] or 0) >= recall * known["n"]
-        if (known["known"] or 0) < known["n"]:
-            joined = done.select(F.col("key").alias("a"), F.col("root").alias("b")).unionAll(more)
-            done = written(components(joined), "clusters")
-        if enough:
+        earlier = touched(edges).withColumn("known", F.lit(1))
+        share = touched(more).join(earlier, "key", "left").agg(F.count("*").alias("n"), F.sum("known").alias("known")).first()
+        edges = edges.unionAll(more)
+        if (share["known"] or 0) >= recall * share["n"]:
             break
-    return done
+    return components(edges)
 
 
 def exact_counts(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
