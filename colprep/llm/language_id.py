@@ -27,7 +27,7 @@ from colprep.llm.common import classes, lower_bytes, mixed, slices
 
 BINS = 1 << 13
 ORDERS = (1, 2, 3, 4)
-PER_LANGUAGE = 500
+PER_LANGUAGE = 300
 
 # Families of languages; a language not named here is a family of its own.
 FAMILIES = {
@@ -80,7 +80,7 @@ def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nd
     return out / (len(ORDERS) * np.diff(at))[:, None]
 
 
-def fit_machine(x: np.ndarray, positive: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> np.ndarray:
+def fit_machine(x: np.ndarray, positive: np.ndarray, steps: int = 80, penalty: float = 1e-4) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge); the intercept is folded in."""
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
