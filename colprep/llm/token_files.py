@@ -1,11 +1,12 @@
 """Token-id files in Simple-8b coding.
 
-Format of a file (little-endian). Header: 8 bytes magic ``CPS8B\\0\\0\\1``. Blocks: each holds ``BLOCK_IDS`` ids (the last
-one fewer) as 64-bit words; the top 4 bits of a word are its selector, the rest holds as many ids of one width
-as the selector says, low bits first. An id wider than 60 bits' largest width is an escape: selector 15, its
-60 bits are the id itself. Footer: per block (byte offset of its words, number of words, number of ids), then per
-document (doc_id, valid flag, ids before it in the file, number of ids), then the two counts, the number of ids
-and the magic again. Offsets make every block decodable alone; decoding is vectorised by selector.
+Format of a file (little-endian). Header: 8 bytes magic ``CPS8B\\0\\0\\1``. Blocks: each holds ``BLOCK_IDS`` ids (the
+last one fewer) as 64-bit words; the top 4 bits of a word are its selector, the rest holds as many ids of one width
+as the selector says, low bits first. An id that fits no other selector is an escape: selector 15, its 60 bits are
+the id itself (60 bits are the most an id may have). Footer: per block (byte offset of its words, number of words,
+number of ids), then per document (doc_id, valid flag, ids before it in the file, number of ids), then the two
+counts, the number of ids and the magic again. Offsets make every block decodable alone; decoding is vectorised by
+selector.
 
 Files hold ascending, disjoint ranges of doc_id and are named by range number. A task writes under its
 attempt's name and renames, so a repeated task leaves one whole file.
@@ -49,6 +50,8 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
+    if int(ids.max()) >> 60:
+        raise ValueError("an id has more than 60 bits")
     bits = np.zeros(n, np.int64)
     rest = ids.copy()
     while rest.any():
