@@ -85,9 +85,9 @@ add("src_column_info", lambda s, sf: rnd(P.column_info(survey(s, sf))), cte("fx_
     for x, t in SCHEMAS["fx_survey"].items()))
 
 add("src_systematic_sample",
-    lambda s, sf: M.systematic_sample(gaps(s, sf).select("row_id", "price", "w"), ["row_id"]),
-    cte("fx_orders_gaps", """p AS (SELECT row_id, price, w, row_number() OVER (ORDER BY row_id) - 1 AS position, count(*) OVER () AS n FROM fx_orders_gaps)""")
-    + "SELECT row_id, price, w, position FROM p WHERE n <= 10000 OR position % (n // 5000) = 0")
+    lambda s, sf: M.systematic_sample(gaps(s, sf).select("row_id", "price", "w"), ["row_id"], 3),
+    cte("fx_orders_gaps", """p AS (SELECT row_id, price, w, row_number() OVER (ORDER BY row_id) - 1 AS position FROM fx_orders_gaps)""")
+    + "SELECT row_id, price, w, position FROM p WHERE position % 3 = 0")
 
 add("src_dataset_flags", lambda s, sf: rnd(P.dataset_flags(gaps(s, sf))), cte("fx_orders_gaps", "d AS (SELECT count(*) AS n, "
     + " + ".join(f"count(*) FILTER (WHERE {x} IS NULL)" for x in SCHEMAS["fx_orders_gaps"]) + " AS m FROM fx_orders_gaps)")
@@ -187,7 +187,6 @@ add("dist_jarque_bera", lambda s, sf: rnd(P.dist_jarque_bera(survey(s, sf)), 4,
     _moments("fx_survey", x, f"{r(_JB, 4)} AS jarque_bera, {r(f'exp(-{_JB} / 2.0E0)')} AS p_value, exp(-{_JB} / 2.0E0) > 0.05 AS is_normal")
     for x in numeric_of("fx_survey")))
 
-add("dist_shapiro", lambda s, sf: P.dist_shapiro(lineitem(s, sf), LINEITEM_ORDER, ["l_quantity", "l_extendedprice", "l_tax"]))
 
 
 def _vf(name, x):
@@ -263,9 +262,9 @@ add("missing_pattern", lambda s, sf: rnd(M.missing_pattern(gaps(s, sf), ["row_id
     cte("fx_orders_gaps") + union(_pattern(x) for x in SCHEMAS["fx_orders_gaps"]))
 
 add("missing_matrix", lambda s, sf: M.missing_matrix(gaps(s, sf), ["row_id"]),
-    cte("fx_orders_gaps", "p AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS position, count(*) OVER () AS n FROM fx_orders_gaps)")
+    cte("fx_orders_gaps", "p AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS position FROM fx_orders_gaps)")
     + "SELECT position, " + ", ".join(f"CAST({x} IS NULL AS TINYINT) AS {x}" for x in SCHEMAS["fx_orders_gaps"])
-    + " FROM p WHERE n <= 10000 OR position % (n // 5000) = 0")
+    + " FROM p")
 
 _SURVEY_HOLES = ["age", "income", "household_income", "email", "phone"]
 add("missing_comissing", lambda s, sf: rnd(M.comissing_pairs(survey(s, sf))), cte("fx_survey") + "SELECT * FROM (" + union(

@@ -99,10 +99,9 @@ def both_sql():
     return f"(SELECT column1 AS a, column2 AS b, r FROM p UNION ALL SELECT column2, column1, r FROM p)"
 
 
-_OFFERED = ", ".join(f"('{a}','{b}')" for a in _SNUM for b in [x for x in _SNUM if x != a][:10])
 add("corr_top5", lambda s, sf: rnd(R.top_correlations(survey(s, sf))), cte("fx_survey", f"p AS ({pairs_sql()})") + f"""
 SELECT a AS "column", b AS other, {r('r')} AS r, CAST(rk AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY a ORDER BY abs(r) DESC, b) AS rk FROM {both_sql()} WHERE abs(r) > 0.1 AND (a, b) IN ({_OFFERED})) WHERE rk <= 5""")
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY abs(r) DESC, b) AS rk FROM {both_sql()} WHERE abs(r) > 0.1) WHERE rk <= 5""")
 add("corr_matrix", lambda s, sf: rnd(R.correlation_matrix(survey(s, sf))), cte("fx_survey", f"p AS ({pairs_sql()})") + f"""
 SELECT a AS column1, b AS column2, {r('r')} AS r FROM {both_sql()} UNION ALL
 """ + union(f"SELECT '{x}', '{x}', CASE WHEN stddev_samp({x}) > 0 THEN 1.0E0 END FROM fx_survey" for x in _SNUM))
@@ -303,7 +302,7 @@ _Q1, _Q3 = ("(SELECT quantile_cont({i}, %s) FROM fx_survey)" % q for q in ("0.25
 
 
 def _edu(i):
-    return f"""(regexp_matches(lower(education), 'master|phd|doctorate|graduate') AND {i} < {_Q1.format(i=i)}) OR (regexp_matches(lower(education), 'high school|elementary|primary') AND {i} > {_Q3.format(i=i)})"""
+    return f"""(regexp_matches(lower(education), '\\b(?:master|phd|doctorate|graduate)\\b') AND {i} < {_Q1.format(i=i)}) OR (regexp_matches(lower(education), '\\b(?:high school|elementary|primary)\\b') AND {i} > {_Q3.format(i=i)})"""
 
 
 CROSS_SQL = {
@@ -311,14 +310,14 @@ CROSS_SQL = {
     "dates": {"start_date,end_date": "try_strptime(end_date, '%Y-%m-%d') < try_strptime(start_date, '%Y-%m-%d')"},
     "edu_income": {f"education,{i}": _edu(i) for i in ("income", "household_income")},
     "gender_title": {"gender,title": "(lower(gender) IN ('male','m') AND lower(title) IN ('mrs','ms')) OR (lower(gender) IN ('female','f') AND lower(title) = 'mr')"},
-    "age_retired": {"age,retired": "(age < 50 AND regexp_matches(lower(retired), 'yes|retired|true')) OR (age > 70 AND regexp_matches(lower(retired), 'no|working|false'))"},
+    "age_retired": {"age,retired": "(age < 50 AND regexp_matches(lower(retired), '\\b(?:yes|retired|true)\\b') AND NOT regexp_matches(lower(retired), '\\bnot retired\\b')) OR (age > 70 AND regexp_matches(lower(retired), '\\b(?:no|working|false)\\b'))"},
     "household_income": {"income,household_income": "income > household_income"},
     "education": {"education": "regexp_matches(lower(education), 'phd.*high school|doctorate.*elementary')"},
     "total_parts": {"total_score,score_a,score_b": "abs(total_score - (coalesce(score_a, 0) + coalesce(score_b, 0))) > (SELECT 0.01E0 * stddev_samp(total_score) FROM fx_survey)"},
     "required_pair": {f"{a},{b}": f"{a} IS NOT NULL AND {b} IS NULL" for a, b in (("email", "phone"), ("start_date", "end_date"), ("income", "employment"), ("household_income", "employment"))},
-    "income_unemployed": {f"{i},employment": f"{i} > 0 AND regexp_matches(lower(employment), 'unemployed|not working|retired')" for i in ("income", "household_income")},
+    "income_unemployed": {f"{i},employment": f"{i} > 0 AND regexp_matches(lower(employment), '\\b(?:unemployed|not working|retired)\\b') AND NOT regexp_matches(lower(employment), '\\bnot retired\\b')" for i in ("income", "household_income")},
     "children": {"children,family_size": "children > family_size"},
-    "married_young": {"marital,age": "regexp_matches(lower(marital), 'married|spouse') AND age < 16"},
+    "married_young": {"marital,age": "regexp_matches(lower(marital), '\\b(?:married|spouse)\\b') AND age < 16"},
 }
 
 

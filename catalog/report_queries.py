@@ -158,12 +158,12 @@ add("chart_bar_top20", lambda s, sf: CH.bar_top(lineitem(s, sf), "l_quantity"),
     "SELECT l_quantity AS value, count(*) AS count FROM lineitem GROUP BY l_quantity ORDER BY count DESC, value LIMIT 20")
 add("chart_bar_xy", lambda s, sf: rnd(CH.bar_xy(lineitem(s, sf), "l_returnflag", "l_quantity"), 2),
     f"SELECT l_returnflag AS x, {r('sum(l_quantity)', 2)} AS y FROM lineitem GROUP BY l_returnflag")
-add("chart_line", lambda s, sf: rnd(CH.line(gaps(s, sf), "price", ["row_id"]), 3), _G + f"""
-, p AS (SELECT price, row_number() OVER (ORDER BY row_id) - 1 AS pos, count(*) OVER () AS n FROM fx_orders_gaps WHERE price IS NOT NULL)
-SELECT pos // greatest(1, (n + 4999) // 5000) AS point, min(pos) AS position, {r('avg(price)', 3)} AS value, count(*) AS rows FROM p GROUP BY point""")
+add("chart_line", lambda s, sf: rnd(CH.line(gaps(s, sf), "price", ["row_id"], step=3), 3), _G + f"""
+, p AS (SELECT price, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM fx_orders_gaps WHERE price IS NOT NULL)
+SELECT pos // 3 AS point, min(pos) AS position, {r('avg(price)', 3)} AS value, count(*) AS rows FROM p GROUP BY point""")
 add("chart_scatter", lambda s, sf: CH.scatter(gaps(s, sf), "price", "w", ["row_id"], color="priority"), _G + """
-, p AS (SELECT price AS x, w AS y, priority AS color, row_number() OVER (ORDER BY row_id) - 1 AS position, count(*) OVER () AS n FROM fx_orders_gaps)
-SELECT position, x, y, color FROM p WHERE n <= 10000 OR position % (n // 5000) = 0""")
+, p AS (SELECT price AS x, w AS y, priority AS color, row_number() OVER (ORDER BY row_id) - 1 AS position FROM fx_orders_gaps)
+SELECT position, x, y, color FROM p""")
 add("chart_box", lambda s, sf: rnd(CH.box(gaps(s, sf), "price_spiky"), 3), _G + f"""
 , q AS (SELECT quantile_cont(price_spiky, 0.25) AS q1, quantile_cont(price_spiky, 0.5) AS q2, quantile_cont(price_spiky, 0.75) AS q3 FROM fx_orders_gaps),
 f AS (SELECT *, q1 - 1.5E0 * (q3 - q1) AS lo, q3 + 1.5E0 * (q3 - q1) AS hi FROM q)

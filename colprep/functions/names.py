@@ -12,7 +12,11 @@ import re
 from collections.abc import Iterable
 
 MODES = ("token", "substring")
-_STEM_LENGTH = 5
+# Forms of a keyword, besides a final s, that count as the keyword.
+INFLECTIONS = {
+    "employ": ("employed", "employer", "employee", "employees", "employment"), "salary": ("salaries",), "birth": ("birthday", "birthdate", "birthyear"), "retired": ("retiree", "retirees"),
+    "education": ("educational",), "score": ("scored", "scoring"), "gender": ("gendered",), "percent": ("pct",), "email": ("emailaddress",), "phone": ("phonenumber",), "postal": ("postalcode",),
+}
 
 
 def tokens(name: str) -> list[str]:
@@ -21,9 +25,7 @@ def tokens(name: str) -> list[str]:
 
 
 def _same(token: str, keyword: str) -> bool:
-    if token == keyword or token == keyword + "s":
-        return True
-    return len(keyword) >= _STEM_LENGTH and token.startswith(keyword)
+    return token in (keyword, keyword + "s", *INFLECTIONS.get(keyword, ()))
 
 
 def matches(name: str, keywords: str | Iterable[str], mode: str = "token") -> bool:

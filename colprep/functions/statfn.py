@@ -7,10 +7,8 @@ values. Nothing here sees a table.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from statistics import NormalDist
 
-import numpy as np
 
 _NORMAL = NormalDist()
 
@@ -77,61 +75,3 @@ def t_quantile(p: float, df: float) -> float:
         if high - low < 1e-13 * max(1.0, high):
             break
     return 0.5 * (low + high)
-
-
-# Polynomial coefficients of Royston's algorithm AS R94 (1995),
-# lowest power first.
-_ROYSTON_A_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
-_ROYSTON_A_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
-_ROYSTON_GAMMA = (-2.273, 0.459)
-_ROYSTON_MEAN_SMALL = (0.544, -0.39978, 0.025054, -0.0006714)
-_ROYSTON_SD_SMALL = (1.3822, -0.77857, 0.062767, -0.0020322)
-_ROYSTON_MEAN_LARGE = (-1.5861, -0.31082, -0.083751, 0.0038915)
-_ROYSTON_SD_LARGE = (-0.4803, -0.082676, 0.0030302)
-
-
-def _poly(coefficients: Sequence[float], x: float) -> float:
-    return sum(a * x**i for i, a in enumerate(coefficients))
-
-
-def shapiro_wilk(sample: Sequence[float]) -> tuple[float, float]:
-    """Shapiro-Wilk W and p value (Royston 1995) for 3 to 5,000 values."""
-    x = np.sort(np.asarray(sample, dtype=float))
-    n = len(x)
-    if n < 3:
-        raise ValueError("Shapiro-Wilk needs at least 3 values")
-    if x[0] == x[-1]:
-        return 1.0, 1.0
-    m = np.array([normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    scale = float(m @ m)
-    if n == 3:
-        weights = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        u = 1.0 / math.sqrt(n)
-        last = m[-1] / math.sqrt(scale) + _poly(_ROYSTON_A_LAST, u)
-        weights = np.empty(n)
-        if n > 5:
-            second = m[-2] / math.sqrt(scale) + _poly(_ROYSTON_A_SECOND, u)
-            phi = (scale - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            weights[2:-2] = m[2:-2] / math.sqrt(phi)
-            weights[1], weights[-2] = -second, second
-        else:
-            phi = (scale - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            weights[1:-1] = m[1:-1] / math.sqrt(phi)
-        weights[0], weights[-1] = -last, last
-    centred = x - x.mean()
-    w = min(1.0, float(weights @ centred) ** 2 / float(centred @ centred))
-    if n == 3:
-        p = 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, min(1.0, max(0.0, p))
-    y = math.log1p(-w) if w < 1.0 else -math.inf
-    if n <= 11:
-        gamma = _poly(_ROYSTON_GAMMA, n)
-        if y >= gamma:
-            return w, 1e-99
-        y = -math.log(gamma - y)
-        mean, sd = _poly(_ROYSTON_MEAN_SMALL, n), math.exp(_poly(_ROYSTON_SD_SMALL, n))
-    else:
-        log_n = math.log(n)
-        mean, sd = _poly(_ROYSTON_MEAN_LARGE, log_n), math.exp(_poly(_ROYSTON_SD_LARGE, log_n))
-    return w, 1.0 - _NORMAL.cdf((y - mean) / sd)

@@ -32,25 +32,23 @@ def bar_xy(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.groupBy(c(x).alias("x")).agg(F.sum(num(df, y)).alias("y"))
 
 
-def line(df: DataFrame, column: str, order_by: Sequence[str], max_points: int = 5_000, buckets: int | None = None) -> DataFrame:
-    """Values by position; means of equal stretches above ``max_points``."""
+def line(df: DataFrame, column: str, order_by: Sequence[str], step: int = 1, buckets: int | None = None) -> DataFrame:
+    """Values by position; means of stretches of ``step`` values."""
     positioned = with_position(
         df.select(*dict.fromkeys([column, *order_by])).where(c(column).isNotNull()), order_by, "position", buckets
     )
-    n = df.agg(F.count(c(column))).first()[0]
-    step = max(1, -(-n // max_points))
     return (
         positioned.groupBy(F.floor(F.col("position") / step).cast("long").alias("point"))
         .agg(F.min("position").alias("position"), F.avg(num(df, column)).alias("value"), F.count(F.lit(1)).alias("rows"))
     )
 
 
-def scatter(df: DataFrame, x: str, y: str, order_by: Sequence[str], color: str | None = None, size: str | None = None, buckets: int | None = None) -> DataFrame:
-    """Point columns of a systematic sample."""
+def scatter(df: DataFrame, x: str, y: str, order_by: Sequence[str], color: str | None = None, size: str | None = None, every: int = 1, buckets: int | None = None) -> DataFrame:
+    """Point columns of all rows, or of every ``every``-th."""
     extra = {"color": color, "size": size}
     cols = [c(x).alias("x"), c(y).alias("y"), *[c(v).alias(k) for k, v in extra.items() if v]]
     needed = dict.fromkeys([x, y, *[v for v in extra.values() if v], *order_by])
-    return systematic_sample(df.select(*needed), order_by, buckets=buckets).select("position", *cols)
+    return systematic_sample(df.select(*needed), order_by, every, buckets).select("position", *cols)
 
 
 def box(df: DataFrame, column: str) -> DataFrame:

@@ -20,7 +20,7 @@ from colprep.functions.ordered import BUCKET, OrderedFrame
 from colprep.functions.quantiles import exact_quantiles
 from colprep.functions.text import strip, title_case, to_number, to_timestamp
 from colprep.operators import iforest
-from colprep.operators.knn import knn_impute
+from colprep.operators.knn import choose_features, knn_impute
 
 NUMERIC, TEXT, ANY = "numeric", "text", "any"
 
@@ -137,21 +137,20 @@ def _directional(df, column, params, output):
     """Last (or next) value along the order, across buckets by a carried value."""
     o = OrderedFrame(df, params["order_by"], params.get("buckets"))
     dtype = df.schema[column].dataType
-    x = num(df, column) if is_numeric(dtype) else c(column)
+    fallback = params["fallback"]
+    # observed values keep their type, and with it their precision, unless a fraction has to be filled in
+    fraction = is_numeric(dtype) and fallback is not None and not float(fallback).is_integer()
+    kind = T.DoubleType() if fraction else dtype
+    x = c(column).cast(kind)
     reverse = params["reverse"]
     carried = o.edge_value(x, "v", last=not reverse, text=not is_numeric(dtype)).select(
         BUCKET, F.last("v", ignorenulls=True).over(o.before(reverse)).alias("__carry")
     )
     rows = o.df.withColumn("__local", F.last(x, ignorenulls=True).over(o.running(reverse)))
-    fallback = F.lit(params["fallback"]).cast(x_type(dtype))
-    filled = F.coalesce(x, F.col("__local"), F.col("__carry"), fallback)
+    filled = F.coalesce(x, F.col("__local"), F.col("__carry"), F.lit(fallback).cast(kind))
     return o.attach(rows, carried).withColumn(output, filled).drop(BUCKET, "__local", "__carry")
 
 
-def x_type(dtype: T.DataType) -> T.DataType:
-    return T.DoubleType() if is_numeric(dtype) else dtype
-
-
 # Interpolation names. Global solves (quadratic, cubic) are not offered.
 LINEAR = ("linear", "index", "values")
 INTERPOLATIONS = (*LINEAR, "slinear", "nearest", "zero", "time")
@@ -228,6 +227,9 @@ def _fit_knn(df, column, n_neighbors: int = 5, key=None, features=None):
     # checks only; the neighbours are searched when the table is transformed
     if df.agg(F.count(c(column))).first()[0] == 0:
         raise ValueError("all values are missing")
+    features = list(features) if features is not None else choose_features(df, column)
+    if not features:
+        raise ValueError("no other numeric column holds a value")
     return {"n_neighbors": n_neighbors, "key": _order(key), "features": features}
 
 
@@ -372,19 +374,20 @@ def _dedupe(df, column, params, output):
     """Keep the value in its first row only.
 
     The first row of each value is a map-side combined minimum. It is joined
-    back on the unique row key, not on the value, so a value that fills a third
-    of the table does not gather its rows in one task.
+    back on the row key and the value, so a value that fills a third of the table
+    does not gather its rows in one task, and rows never multiply. Rows that agree
+    in value and key are one row for this purpose and all keep the value.
     """
     keys = params["order_by"]
-    groups = df.where(c(column).isNotNull()).groupBy(c(column))
+    groups = df.where(c(column).isNotNull()).groupBy(c(column).alias("__value"))
     if len(keys) == 1:  # a plain minimum runs in a hash aggregate
-        marks = groups.agg(F.min(c(keys[0])).alias("__k0")).select("__k0", F.lit(True).alias("__first"))
+        marks = groups.agg(F.min(c(keys[0])).alias("__k0")).select("__value", "__k0", F.lit(True).alias("__first"))
     else:
         first = groups.agg(F.min(F.struct(*[c(k).alias(f"__k{i}") for i, k in enumerate(keys)])).alias("__f"))
-        marks = first.select(*[F.col(f"__f.__k{i}").alias(f"__k{i}") for i in range(len(keys))], F.lit(True).alias("__first"))
+        marks = first.select("__value", *[F.col(f"__f.__k{i}").alias(f"__k{i}") for i in range(len(keys))], F.lit(True).alias("__first"))
     same = [c(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    condition = same[0]
-    for s in same[1:]:
+    condition = c(column) == F.col("__value")
+    for s in same:
         condition = condition & s
     joined = df.join(marks, condition, "left")
     return joined.withColumn(output, F.when(F.col("__first"), c(column))).select(*dict.fromkeys([*df.columns, output]))

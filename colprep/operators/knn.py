@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colprep.functions.exprs import c, num, numeric_columns, pearson
+from colprep.functions.exprs import c, num, numeric_columns
 from colprep.session import scratch_dir
 
 MAX_CELLS = 16_384
@@ -36,22 +36,13 @@ _BLOCK = 128
 _DECIMALS = 6
 
 
-def choose_features(df: DataFrame, column: str, limit: int = 10) -> list[str]:
-    """Other numeric columns; beyond ``limit`` the most correlated ones.
-
-    Columns without any value are left out.
-    """
+def choose_features(df: DataFrame, column: str) -> list[str]:
+    """The other numeric columns that hold any value."""
     names = [x for x in numeric_columns(df) if x != column]
-    aggs = [F.count(c(x)).alias(f"n{i}") for i, x in enumerate(names)]
-    if len(names) + 1 > limit:
-        aggs += [pearson(num(df, column), num(df, x)).alias(f"r{i}") for i, x in enumerate(names)]
-    row = df.agg(*aggs).first().asDict()
-    usable = [(i, x) for i, x in enumerate(names) if row[f"n{i}"]]
-    if len(names) + 1 > limit:
-        strength = {x: abs(row[f"r{i}"]) if row[f"r{i}"] is not None else -1.0 for i, x in usable}
-        kept = set(sorted(strength, key=lambda x: (-strength[x], names.index(x)))[:limit])
-        return [x for _, x in usable if x in kept]
-    return [x for _, x in usable]
+    if not names:
+        return []
+    counts = df.agg(*[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(names)]).first()
+    return [x for i, x in enumerate(names) if counts[f"n{i}"]]
 
 
 def _profile_key(features: Sequence[str]) -> Column:

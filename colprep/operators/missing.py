@@ -108,17 +108,16 @@ def missing_pattern(df: DataFrame, order_by: Sequence[str], columns: Sequence[st
                        F.col("tail").alias("tail_missing"), label.alias("pattern"))
 
 
-def systematic_sample(df: DataFrame, order_by: Sequence[str], threshold: int = 10_000, target: int = 5_000, buckets: int | None = None) -> DataFrame:
-    """Every n-th row with n = rows // target, once there are more than ``threshold``."""
-    n = df.count()
+def systematic_sample(df: DataFrame, order_by: Sequence[str], every: int, buckets: int | None = None) -> DataFrame:
+    """Every ``every``-th row, from the first one on."""
     positioned = with_position(df, order_by, "position", buckets)
-    return positioned.where(F.col("position") % (n // target) == 0) if n > threshold else positioned
+    return positioned.where(F.col("position") % every == 0) if every > 1 else positioned
 
 
-def missing_matrix(df: DataFrame, order_by: Sequence[str], max_columns: int = 50, buckets: int | None = None) -> DataFrame:
-    """0/1 missing indicators of (sampled) rows for plotting."""
-    shown = df.columns[:max_columns]
-    sampled = systematic_sample(df.select(*dict.fromkeys([*shown, *order_by])), order_by, buckets=buckets)
+def missing_matrix(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None, every: int = 1, buckets: int | None = None) -> DataFrame:
+    """0/1 missing indicators of all columns and rows, or of those asked for."""
+    shown = list(columns or df.columns)
+    sampled = systematic_sample(df.select(*dict.fromkeys([*shown, *order_by])), order_by, every, buckets)
     return sampled.select("position", *[c(x).isNull().cast("tinyint").alias(x) for x in shown])
 
 

@@ -369,23 +369,6 @@ def dist_jarque_bera(source, columns=None) -> DataFrame:
     )
 
 
-def dist_shapiro(source, key: Sequence[str], columns=None, size: int = 5_000) -> DataFrame:
-    """Shapiro-Wilk on a deterministic sample of at most ``size`` values per column."""
-    from colprep.functions.sampling import hash_sample
-    from colprep.functions.statfn import shapiro_wilk
-
-    p = _as_profile(source, columns)
-    rows = []
-    for name in p.numeric:
-        n = p.pass_a[name]["non_null"]
-        if n < 10:
-            continue
-        sample = hash_sample(p.df, num(p.df, name), key, size, n)
-        w, pv = shapiro_wilk(sample)
-        rows.append((name, len(sample), w, pv, pv > 0.05))
-    return literal_rows(p.spark, rows, "column string, sample_size long, w double, p_value double, is_normal boolean")
-
-
 def dist_top(source, columns=None, k: int = 10) -> DataFrame:
     p = _as_profile(source, columns)
     return vf_top(p.vf, k).select("column", "value", F.col("cnt").alias("count"), "rank")

@@ -76,10 +76,9 @@ def _ratio(cross: float, xx: float, yy: float) -> float | None:
     return max(-1.0, min(1.0, cross / math.sqrt(xx * yy))) if xx > 0 and yy > 0 else None
 
 
-def correlation_matrix(source: DataFrame | TableProfile, columns: Sequence[str] | None = None, max_columns: int | None = 20) -> DataFrame:
+def correlation_matrix(source: DataFrame | TableProfile, columns: Sequence[str] | None = None) -> DataFrame:
     """Full matrix in long form, diagonal included; NULL on constant columns."""
     p, names = _columns(source, columns)
-    names = names[:max_columns]
     pairs = correlation_pairs(p, names)
     diagonal = literal_rows(p.spark, [(x, x, 1.0 if p.pass_a[x]["std"] else None) for x in names], "column1 string, column2 string, r double")
     swapped = pairs.select(F.col("column2").alias("column1"), F.col("column1").alias("column2"), "r")
@@ -94,18 +93,9 @@ def high_pairs(source: DataFrame | TableProfile, columns: Sequence[str] | None =
     )
 
 
-def top_correlations(source: DataFrame | TableProfile, columns: Sequence[str] | None = None, candidates: int | None = 10, k: int = 5, minimum: float = 0.1) -> DataFrame:
-    """Per column the ``k`` strongest of its first ``candidates`` partners.
-
-    ``candidates`` counts the other numeric columns in table order; ``None``
-    looks at all of them.
-    """
+def top_correlations(source: DataFrame | TableProfile, columns: Sequence[str] | None = None, k: int = 5, minimum: float = 0.1) -> DataFrame:
+    """Per column its ``k`` strongest partners among all other numeric columns."""
     p, names = _columns(source, columns)
-    allowed = [
-        (a, b)
-        for a in names
-        for b in [x for x in names if x != a][:candidates]
-    ]
     pairs = correlation_pairs(p, names).where(F.abs("r") > minimum)
     both_ways = pairs.select(
         F.inline(F.array(
@@ -113,10 +103,8 @@ def top_correlations(source: DataFrame | TableProfile, columns: Sequence[str] |
             F.struct(F.col("column2").alias("column"), F.col("column1").alias("other"), "r"),
         ))
     )
-    offered = literal_rows(p.spark, allowed, "column string, other string")
     w = Window.partitionBy("column").orderBy(F.abs("r").desc(), "other")
     return (
-        both_ways.join(F.broadcast(offered), ["column", "other"], "left_semi")
-        .withColumn("rank", F.row_number().over(w))
+        both_ways.select("column", "other", "r", F.row_number().over(w).alias("rank"))
         .where(F.col("rank") <= k)
     )

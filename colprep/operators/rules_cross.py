@@ -25,6 +25,7 @@ from colprep.operators.rules_single import severity
 BIRTH_WORDS = ("birth_year", "birth")
 INCOME_WORDS = ("income", "salary", "wage")
 EDUCATION_WORDS = ("education", "degree")
+# The patterns are looked for as whole words.
 HIGH_EDUCATION = "master|phd|doctorate|graduate"
 LOW_EDUCATION = "high school|elementary|primary"
 IMPOSSIBLE_EDUCATION = "phd.*high school|doctorate.*elementary"
@@ -38,6 +39,7 @@ RETIREMENT_WORDS = ("retired", "retirement")
 RETIRED_PATTERN = "yes|retired|true"
 WORKING_PATTERN = "no|working|false"
 EMPLOYMENT_WORDS = ("employ", "job", "work")
+NOT_RETIRED = "not retired"
 UNEMPLOYED_PATTERN = "unemployed|not working|retired"
 FAMILY_WORDS = ("family_size", "household_size")
 CHILDREN_WORDS = ("children", "kids", "child")
@@ -50,6 +52,11 @@ MARRIED_UNDER = 16
 TOTAL_TOLERANCE = 0.01
 
 
+def whole(pattern: str) -> str:
+    """The pattern between word boundaries: ``no`` is not found in "unknown"."""
+    return rf"\b(?:{pattern})\b"
+
+
 @dataclass(frozen=True)
 class CrossCheck:
     rule: str
@@ -105,8 +112,8 @@ class _Binder:
         for e, i in pairs:
             q1, q3 = quartiles[i]
             if q1 is not None:
-                yield (e, i), (self.low(e).rlike(HIGH_EDUCATION) & (incomes[i] < F.lit(q1))) | (
-                    self.low(e).rlike(LOW_EDUCATION) & (incomes[i] > F.lit(q3)))
+                yield (e, i), (self.low(e).rlike(whole(HIGH_EDUCATION)) & (incomes[i] < F.lit(q1))) | (
+                    self.low(e).rlike(whole(LOW_EDUCATION)) & (incomes[i] > F.lit(q3)))
 
     def gender_title(self):
         for g, t in product(self.find(GENDER_WORDS, self.text), self.find(TITLE_WORDS, self.text)):
@@ -117,8 +124,8 @@ class _Binder:
 
     def age_retired(self):
         for a, r in product(self.find("age", self.numeric), self.find(RETIREMENT_WORDS, self.text)):
-            yield (a, r), ((self.num(a) < RETIRED_UNDER) & self.low(r).rlike(RETIRED_PATTERN)) | (
-                (self.num(a) > WORKING_OVER) & self.low(r).rlike(WORKING_PATTERN))
+            yield (a, r), ((self.num(a) < RETIRED_UNDER) & self.low(r).rlike(whole(RETIRED_PATTERN)) & ~self.low(r).rlike(whole(NOT_RETIRED))) | (
+                (self.num(a) > WORKING_OVER) & self.low(r).rlike(whole(WORKING_PATTERN)))
 
     def household_income(self):
         house = set(self.find("household"))
@@ -128,7 +135,7 @@ class _Binder:
 
     def education(self):
         for e in self.find(EDUCATION_WORDS, self.text):
-            yield (e,), self.low(e).rlike(IMPOSSIBLE_EDUCATION)
+            yield (e,), self.low(e).rlike(whole(IMPOSSIBLE_EDUCATION))
 
     def total_parts(self):
         for total in self.find("total", self.numeric):
@@ -145,7 +152,7 @@ class _Binder:
 
     def income_unemployed(self):
         for i, e in product(self.find(INCOME_WORDS, self.numeric), self.find(EMPLOYMENT_WORDS, self.text)):
-            yield (i, e), (self.num(i) > 0) & self.low(e).rlike(UNEMPLOYED_PATTERN)
+            yield (i, e), (self.num(i) > 0) & self.low(e).rlike(whole(UNEMPLOYED_PATTERN)) & ~self.low(e).rlike(whole(NOT_RETIRED))
 
     def children(self):
         for f, k in product(self.find(FAMILY_WORDS, self.numeric), self.find(CHILDREN_WORDS, self.numeric)):
@@ -153,7 +160,7 @@ class _Binder:
 
     def married_young(self):
         for m, a in product(self.find(MARITAL_WORDS, self.text), self.find("age", self.numeric)):
-            yield (m, a), self.low(m).rlike(MARRIED_PATTERN) & (self.num(a) < MARRIED_UNDER)
+            yield (m, a), self.low(m).rlike(whole(MARRIED_PATTERN)) & (self.num(a) < MARRIED_UNDER)
 
     def required_pair(self):
         for a, b in required_pairs(self.names, self.match):

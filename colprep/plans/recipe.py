@@ -17,7 +17,6 @@ from colprep.functions.exprs import c, count_if, is_numeric, literal_rows
 from colprep.operators.cleaning import METHODS, Fitted, fit_method
 from colprep.session import scratch_dir
 
-MAX_UNDO = 20
 _BEFORE = "__before"
 
 
@@ -50,7 +49,7 @@ class Recipe:
         return self.operations[: self.cursor]
 
     def undo(self) -> Recipe:
-        if self.cursor == 0 or len(self.operations) - self.cursor >= MAX_UNDO:
+        if self.cursor == 0:
             return self
         return replace(self, cursor=self.cursor - 1)
 

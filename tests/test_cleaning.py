@@ -9,7 +9,7 @@ from colprep.operators import impact as I
 from colprep.operators.cleaning import METHODS, clean, drop_incomplete, fit_method
 from colprep.operators.iforest import fit_forest, is_anomaly
 from colprep.operators.knn import knn_impute
-from colprep.plans.recipe import MAX_UNDO, Recipe, operation_log
+from colprep.plans.recipe import Recipe, operation_log
 
 GAPS = [(1, None), (2, 1.0), (3, None), (4, None), (5, 4.0), (6, None)]
 
@@ -197,7 +197,7 @@ def test_recipe_undo_redo_and_json(frame):
         long = long.append("x", "missing_values", "mean_imputation")
     for _ in range(40):
         long = long.undo()
-    assert long.cursor == 30 - MAX_UNDO
+    assert long.cursor == 0
     with pytest.raises(ValueError):
         r.append("x", "outliers", "nonsense")
 
@@ -218,3 +218,20 @@ def test_operation_log(frame):
     a, b = log.orderBy("seq").collect()
     assert (a["rows_changed"], a["missing_before"], a["missing_after"], a["imputed_value"]) == (1, 1, 0, "3.0")
     assert not b["success"] and "text" in b["error"]
+
+
+def test_dedupe_with_tied_keys_keeps_the_rows(frame):
+    df = frame([(1, "a"), (1, "b"), (2, "a"), (2, "c")], "k long, s string")
+    out, info = clean(df, "s", "data_quality", "remove_duplicates", {"order_by": ["k"]})
+    assert info["success"] and sorted((r["k"], r["s"] or "") for r in out.collect()) == [(1, "a"), (1, "b"), (2, ""), (2, "c")]
+
+
+def test_fills_keep_large_integers(frame):
+    df = frame([(1, 9007199254740993), (2, None), (3, 9007199254740995)], "k long, x long")
+    out, _ = clean(df, "x", "missing_values", "forward_fill", {"order_by": ["k"]})
+    assert [r["x"] for r in out.orderBy("k").collect()] == [9007199254740993, 9007199254740993, 9007199254740995]
+
+
+def test_knn_without_features_reports_failure(frame):
+    out, info = clean(frame([(1, 1.0, "a"), (2, None, "b")], "k long, x double, s string").selectExpr("cast(k as string) k", "x", "s"), "x", "missing_values", "knn_imputation", {"key": ["k"]})
+    assert not info["success"] and out.count() == 2

@@ -132,7 +132,7 @@ def test_charts_ignore_missing(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i)) for i in range(400)], "id long, x double")
     h = histogram(df, "x").collect()
     assert sum(r["count"] for r in h) == 300 and len(h) <= 30
-    assert sum(r["rows"] for r in line(df, "x", ["id"], max_points=50).collect()) == 300
+    assert sum(r["rows"] for r in line(df, "x", ["id"], step=6).collect()) == 300
     assert box(df, "x").first()["outliers"] == 0
 
 
@@ -182,3 +182,12 @@ def test_stream_of_a_fitted_recipe(spark, tmp_path):
     ordered = Recipe().append("age", "missing_values", "forward_fill", {"order_by": ["id"]}).fit(batch)
     with pytest.raises(ValueError):
         clean_stream(stream, ordered)
+
+
+def test_names_and_values_match_as_whole_words(spark):
+    from colprep.functions.names import matches
+    from colprep.operators.rules_cross import MARRIED_PATTERN, WORKING_PATTERN, whole
+
+    assert not matches("rationale_code", "ratio") and not matches("scorecard", "score") and not matches("childhood_trauma", "child") and matches("employment", "employ")
+    got = spark.createDataFrame([("unknown", "unmarried"), ("no", "married")], "a string, b string").selectExpr(f"a rlike r'{whole(WORKING_PATTERN)}' x", f"b rlike r'{whole(MARRIED_PATTERN)}' y").collect()
+    assert [tuple(r) for r in got] == [(False, False), (True, True)]
