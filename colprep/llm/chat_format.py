@@ -94,7 +94,7 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, tool
     """
     key = ["conv_id", "call_id"]
     named = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL")
-    gathered = named.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set(F.coalesce("after", F.array().cast("array<string>"))))).alias("after"))
+    gathered = written(named.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set(F.coalesce("after", F.array().cast("array<string>"))))).alias("after")), "calls")
     levels = written(call_levels(gathered), "levels")
     answered = results.where("call_id IS NOT NULL").groupBy(*key).agg(F.count("*").alias("answers"))
     facts = levels.join(answered.hint("shuffle_hash"), key, "left")
