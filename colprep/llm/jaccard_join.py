@@ -202,23 +202,24 @@ def _compare_small(rows: DataFrame) -> DataFrame:
 
 def run_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
     """Spanning edges found by some runs, as a written table."""
-    found, level = [], written(_start(sets, runs), "nodes")
+    found, small, level = [], [], written(_start(sets, runs), "nodes")
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("count"), F.min("key").alias("pivot")).where("count > 1")
-        shared = level.join(sizes, "node")
-        small = shared.where(F.col("count") <= SMALL_NODE).select("node", "key").join(sets, "key")
-        found.append(_compare_small(small.select("node", "key", "sketch")))
-        large = sizes.where(F.col("count") > SMALL_NODE)
+        sizes = written(level.groupBy("node").agg(F.count("*").alias("count"), F.min("key").alias("pivot")).where("count > 1"), "sizes")
+        small.append(level.join(sizes.where(F.col("count") <= SMALL_NODE).select("node"), "node").select("node", "key"))
+        large = sizes.where(F.col("count") > SMALL_NODE).select("node", "pivot")
         if large.isEmpty():
             break
-        members = shared.where(F.col("count") > SMALL_NODE).select("node", "key", "pivot")
+        members = level.join(large, "node").select("node", "key", "pivot")
         if depth == DEPTH:
             found.append(members.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
             break
-        pivots = large.select("node", "pivot").join(sets.withColumnsRenamed({"key": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "pivot_sketch")
+        # written, so that Spark knows its size: one row per large node, few enough to broadcast or else a skew-split join
+        pivots = written(large.join(sets.withColumnsRenamed({"key": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "pivot_sketch"), "pivots")
         step = written(_split(members.join(sets, "key").join(pivots, "node").select("key", "node", "sketch", "pivot", "pivot_sketch")), "nodes")
         found.append(step.where("b IS NOT NULL AND key != b").select(F.col("key").alias("a"), "b"))
         level = step.where("node IS NOT NULL").select("key", "node")
+    # small nodes of all levels are compared in one pass: a node's number is its own at every level
+    found.append(_compare_small(reduce(DataFrame.unionAll, small).join(sets, "key").select("node", "key", "sketch")))
     return written(reduce(DataFrame.unionAll, found), "edges")
 
 
