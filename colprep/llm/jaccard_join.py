@@ -48,6 +48,7 @@ DEPTH = 6
 SETTLED = 0.75  # a set this near the pivot of a large node does not go on: 0.8 + 0.75 - 1 is above CANDIDATE
 CANDIDATE = 0.5  # share of equal coordinates from which two sets are checked exactly
 BLOCK = 512
+TASKS = 4  # a core, for splitting nodes
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -215,7 +216,9 @@ def run_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
             break
         # written, so that Spark knows its size: one row per large node, few enough to broadcast or else a skew-split join
         pivots = written(large.join(sets.withColumnsRenamed({"key": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "pivot_sketch"), "pivots")
-        step = written(_split(members.join(sets, "key").join(pivots, "node").select("key", "node", "sketch", "pivot", "pivot_sketch")), "nodes")
+        # rows are streamed, so neighbouring partitions can share a task: Python starts and files follow the cores
+        rows = members.join(sets, "key").join(pivots, "node").select("key", "node", "sketch", "pivot", "pivot_sketch")
+        step = written(_split(rows.coalesce(TASKS * sets.sparkSession.sparkContext.defaultParallelism)), "nodes")
         found.append(step.where("b IS NOT NULL AND key != b").select(F.col("key").alias("a"), "b"))
         level = step.where("node IS NOT NULL").select("key", "node")
     # small nodes of all levels are compared in one pass: a node's number is its own at every level
