@@ -11,8 +11,9 @@ with the same words are one class from the start. Every set is embedded in ``COO
   not go on; the others are split again. Nodes that are still large after ``DEPTH`` splits agree in so many
   coordinates that they are kept together. Nothing is dropped. Pairs are never written: a node returns, for each
   of its sets, one edge of a spanning forest.
-* Runs repeat in rounds. Of the sets for which a round finds a partner, the share that earlier rounds had found one
-  for estimates the recall so far; rounds go on until it reaches ``RECALL`` (at least two rounds).
+* Runs repeat in rounds. Of the sets for which a round finds a partner of the similarity asked for (by their embedded
+  values), the share that earlier rounds had found one for estimates the recall so far; rounds go on until it
+  reaches ``RECALL`` (at least two rounds). Less similar candidates are kept but say nothing about that recall.
 * Exact check. Edges are contracted to clusters; the whole shingle sets of a cluster's texts are compared exactly,
   in pairs of blocks of at most ``BLOCK`` sets, so a cluster of any size is spread over tasks. Each block returns
   per set the number of documents it is linked to and an edge to its block's smallest linked set.
@@ -124,7 +125,7 @@ def _start(rows: DataFrame, runs: list[int]) -> DataFrame:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """Members of large nodes (key, node, sketch, pivot, pivot_sketch): edges (key, b) to the pivot, children (key, node) of the rest."""
+    """Members of large nodes (key, node, sketch, pivot, pivot_sketch): edges (key, b, strong) to the pivot, children (key, node) of the rest."""
 
     def run(batches):
         for batch in batches:
@@ -135,10 +136,11 @@ def _split(rows: DataFrame) -> DataFrame:
             near, rest = np.flatnonzero(equal >= CANDIDATE), np.flatnonzero(equal < SETTLED)
             row, child = children(batch.column("node").to_numpy(zero_copy_only=False).astype(np.uint64)[rest], sketch[rest])
             key = batch.column("key")
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(near)), pa.nulls(len(near), pa.int64()), batch.column("pivot").take(pa.array(near))], names=["key", "node", "b"])
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(rest[row])), pa.array(child.astype(np.int64)), pa.nulls(len(row), pa.binary())], names=["key", "node", "b"])
+            names = ["key", "node", "b", "strong"]
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(near)), pa.nulls(len(near), pa.int64()), batch.column("pivot").take(pa.array(near)), pa.array(equal[near] >= SIMILARITY)], names=names)
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(rest[row])), pa.array(child.astype(np.int64)), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.bool_())], names=names)
 
-    return rows.mapInArrow(run, "key binary, node long, b binary")
+    return rows.mapInArrow(run, "key binary, node long, b binary, strong boolean")
 
 
 def _spanning(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,7 +179,7 @@ def _groups(batches, key: str):
 
 
 def _compare_small(rows: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) of the pairs in small nodes that may be similar."""
+    """Spanning edges (a, b) of the pairs in small nodes that may be similar; strong: a has a partner of the similarity asked for."""
 
     def run(batches):
         for table in _groups(batches, "node"):
@@ -186,20 +188,22 @@ def _compare_small(rows: DataFrame) -> DataFrame:
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
             end = np.repeat(cuts[1:], np.diff(cuts))
-            lefts, rights = [], []
+            lefts, rights, strong = [], [], np.zeros(len(node), bool)
             for shift in range(1, int(np.diff(cuts).max())):  # pairs at this distance within a node
                 a = np.flatnonzero(np.arange(len(node)) + shift < end)
                 for k in range(0, len(a), 8192):
                     part = a[k : k + 8192]
-                    near = (sketch[part] == sketch[part + shift]).mean(1) >= CANDIDATE
+                    equal = (sketch[part] == sketch[part + shift]).mean(1)
+                    near, alike = equal >= CANDIDATE, part[equal >= SIMILARITY]
+                    strong[alike] = strong[alike + shift] = True
                     lefts.append(part[near])
                     rights.append(part[near] + shift)
             if lefts:
                 label = _spanning(len(node), np.concatenate(lefts), np.concatenate(rights))
-                moved = np.flatnonzero(label != np.arange(len(node))).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in moved], pa.binary()), pa.array([keys[label[k]] for k in moved], pa.binary())], names=["a", "b"])
+                told = np.flatnonzero((label != np.arange(len(node))) | strong).tolist()  # the smallest of a component has an edge to itself
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in told], pa.binary()), pa.array([keys[label[k]] for k in told], pa.binary()), pa.array(strong[told])], names=["a", "b", "strong"])
 
-    return rows.repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "key").mapInArrow(run, "a binary, b binary")
+    return rows.repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "key").mapInArrow(run, "a binary, b binary, strong boolean")
 
 
 def run_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
@@ -213,14 +217,14 @@ def run_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
             break
         members = level.join(large, "node").select("node", "key", "pivot")
         if depth == DEPTH:
-            found.append(members.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+            found.append(members.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("strong")))
             break
         # written, so that Spark knows its size: one row per large node, few enough to broadcast or else a skew-split join
         pivots = written(large.join(sets.withColumnsRenamed({"key": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "pivot_sketch"), "pivots")
         # rows are streamed, so neighbouring partitions can share a task: Python starts and files follow the cores
         rows = members.join(sets, "key").join(pivots, "node").select("key", "node", "sketch", "pivot", "pivot_sketch")
         step = written(_split(rows.coalesce(TASKS * sets.sparkSession.sparkContext.defaultParallelism)), "nodes")
-        found.append(step.where("b IS NOT NULL AND key != b").select(F.col("key").alias("a"), "b"))
+        found.append(step.where("b IS NOT NULL AND key != b").select(F.col("key").alias("a"), "b", "strong"))
         level = step.where("node IS NOT NULL").select("key", "node")
     # small nodes of all levels are compared in one pass: a node's number is its own at every level
     found.append(_compare_small(reduce(DataFrame.unionAll, small).join(sets, "key").select("node", "key", "sketch")))
@@ -272,7 +276,7 @@ def components(edges: DataFrame) -> DataFrame:
 def clusters(sets: DataFrame, recall: float = RECALL) -> DataFrame:
     """(key, root) of the sets that may have a similar one; rounds of runs until the estimated recall is reached."""
     def touched(edges: DataFrame) -> DataFrame:
-        return edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        return edges.where("strong").select(F.col("a").alias("key")).distinct()
 
     edges = run_edges(sets, list(range(RUNS)))
     for number in range(1, MAX_ROUNDS):
