@@ -5,10 +5,11 @@ configuration is a multiset of lengths that fit one sequence. The configuration
 
     minimise the number of sequences  so that every length is covered as often as it occurs
 
-is solved by multiplicative weights: every length carries a weight (dual value); the configuration of most
-weight is priced by an unbounded knapsack over the capacity; it is used for a step, and the weights of the
-lengths that it covers shrink. The fractional solution is scaled, rounded down to whole sequences, and what
-rounding leaves over is placed best-fit decreasing into gaps and new sequences, counting equal bins together.
+is solved by multiplicative weights: every length carries a weight (dual value); an unbounded knapsack over the
+capacity prices configurations; those near the best are used for a step, and the weights of the lengths that they
+cover shrink. It ends when every length is covered and the solution is within ``GAP`` of a dual bound. The solution
+is rounded to whole sequences; the lengths that rounding leaves over are solved again, until rounding places nothing
+more. The few pieces left then go best-fit decreasing into gaps and new sequences, counting equal bins together.
 
 The plan is a short table of (length, ranks, sequence, place). Pieces are ranked within their length by a
 two-step count over hash buckets of the rows, so a length that holds a third of all pieces is no single task.
@@ -19,6 +20,7 @@ stays null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -33,7 +35,9 @@ from colprep.llm.tokens import encoder, vocabulary_path
 CAPACITY = 2048
 END_ID = 0
 BUCKET_ROWS = 50_000
-RATE = 0.5  # how fast the weight of a covered length falls
+RATE = 1.0  # how fast the weight of a covered length falls
+NEAR = 0.2  # configurations this near the best one are used too, at first
+GAP = 0.1  # between the fractional solution and its lower bound
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -65,8 +69,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def price(weights: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """Configuration of most weight: unbounded knapsack over 1..capacity; ``weights[l]`` is the weight of length l."""
+def knapsack(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over 1..capacity: most weight for every room, and the length taken first there (0: none).
+
+    ``weights[l]`` is the weight of length l."""
     lengths = np.flatnonzero(weights > 0)
     values = weights[lengths]
     best = np.zeros(capacity + 1)
@@ -80,44 +86,87 @@ def price(weights: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
             k = n - 1 - int(gain[::-1].argmax())  # of equal configurations, that with the longest pieces
             if gain[k] > best[room]:
                 best[room], choice[room] = gain[k], lengths[k]
-    room, made = capacity, Counter()
+    return best, choice
+
+
+def filled(choice: list[int], room: int, first: int = 0) -> dict[int, int]:
+    """The configuration of most weight for a room, besides a length that it must hold."""
+    made = Counter({first: 1} if first else {})
     while room > 0:
         if choice[room]:
-            made[int(choice[room])] += 1
-            room -= int(choice[room])
+            made[choice[room]] += 1
+            room -= choice[room]
         else:
             room -= 1
-    return float(best[capacity]), dict(made)
+    return dict(made)
 
 
-def fractional(demand: dict[int, int], capacity: int, rate: float = RATE, rounds: int = 600) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their (fractional) numbers by multiplicative weights.
+def fractional(demand: dict[int, int], capacity: int, gap: float = GAP, rate: float = RATE, near: float = NEAR) -> list[tuple[dict[int, int], float]]:
+    """Configurations and their (fractional) numbers by multiplicative weights; together they cover every length.
 
-    A step uses the priced configuration as often as its scarcest length allows; a length's weight falls by
-    ``exp(-rate * share)`` for the share of its demand that the step covers, so lengths that lag behind
-    gain weight against the others. Ends when every length is covered or after ``rounds`` steps.
+    Coverage counts in shares of a length's own demand, so scale does not matter. A knapsack prices, for every
+    length, the best configuration that holds it; those within ``near`` of the best of all are used, each as often
+    as covers its scarcest length once (the width of the program). A length's weight falls by ``exp(-rate * share)``.
+    All weighed demand over the best configuration's weight is a lower bound of the program (a dual solution);
+    the numbers used, over the smallest coverage, are a solution. Ends when the two are ``gap`` apart. The rate
+    and ``near`` are halved whenever the gap is not reached in ``8 / rate`` coverages, as the error left is of their size.
     """
-    weights = np.zeros(capacity + 1)
-    for length in demand:
-        weights[length] = length / capacity
-    need = np.zeros(capacity + 1)
-    for length, n in demand.items():
-        need[length] = n
-    covered = np.zeros(capacity + 1)
+    lengths = sorted(demand)
+    if not lengths:
+        return []
+    wanted = [demand.get(length, 0) for length in range(capacity + 1)]
+    covered = [0.0] * (capacity + 1)
     used: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        open_ = (need > 0) & (covered < need)
-        if not open_.any():
+    bound = spent = since = 0.0
+    while True:
+        low = min(covered[length] for length in lengths)
+        if low - since > 8 / rate:
+            rate, near, since = rate / 2, near / 2, low
+        weights = [0.0] * (capacity + 1)
+        for length in lengths:
+            weights[length] = length / capacity * math.exp(-rate * (covered[length] - low))
+        best, choice = knapsack(np.array(weights), capacity)
+        most = float(best[capacity])
+        bound = max(bound, sum(wanted[length] * weights[length] for length in lengths) / most)
+        if low > 0 and spent / low <= (1 + gap) * bound:
+            return [(dict(c), x / low) for c, x in used.items()]
+        choice, reach = choice.tolist(), best.tolist()
+        order = sorted((length for length in lengths if weights[length] + reach[capacity - length] >= (1 - near) * most), key=lambda x: (covered[x], -x))
+        for length in order:
+            made = filled(choice, capacity - length, length)
+            if sum(weights[x] * k for x, k in made.items()) < (1 - near) * most:  # its lengths were covered meanwhile
+                continue
+            step = min(wanted[x] / k for x, k in made.items())
+            used[tuple(sorted(made.items()))] += step
+            spent += step
+            for x, k in made.items():
+                share = step * k / wanted[x]
+                covered[x] += share
+                weights[x] *= math.exp(-rate * share)
+
+
+def rounded(solution: list[tuple[dict[int, int], float]], left: Counter) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of configurations, as the solution's running sum passes whole numbers; what they hold leaves ``left``."""
+    bins, running = [], 0.0
+    for made, x in sorted(solution, key=lambda s: (-s[1], sorted(s[0].items()))):
+        times = min([int(running + x) - int(running), *(left[length] // k for length, k in made.items())])
+        running += x
+        if times > 0:
+            bins.append((made, times))
+            for length, k in made.items():
+                left[length] -= times * k
+    return bins
+
+
+def program(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Solve, round and solve again for what is left, until rounding places nothing more."""
+    bins = []
+    while any(left.values()):
+        more = rounded(fractional({k: n for k, n in left.items() if n > 0}, capacity), left)
+        if not more:
             break
-        _, made = price(np.where(open_, weights, 0.0), capacity)
-        step = min((need[length] - covered[length]) / k for length, k in made.items())
-        widest = min(need[length] / k for length, k in made.items())
-        step = min(step, max(0.02 * widest, 1.0))
-        used[tuple(sorted(made.items()))] += step
-        for length, k in made.items():
-            covered[length] += step * k
-            weights[length] *= np.exp(-rate * step * k / need[length])
-    return [(dict(c), x) for c, x in used.items()]
+        bins += more
+    return bins
 
 
 def pack_lengths(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
@@ -129,13 +178,7 @@ def pack_lengths(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     bins: list[tuple[dict[int, int], int]] = []
     if left[capacity]:
         bins.append(({capacity: 1}, left.pop(capacity)))
-    solution = fractional(dict(left), capacity)
-    for made, x in sorted(solution, key=lambda s: (-s[1], sorted(s[0].items()))):
-        times = min([int(x), *(left[length] // k for length, k in made.items())])
-        if times > 0:
-            bins.append((made, times))
-            for length, k in made.items():
-                left[length] -= times * k
+    bins += program(left, capacity)
     # Bins by free room, then the remainder best-fit decreasing, whole groups of equal bins at a time.
     rooms: dict[int, list[list]] = defaultdict(list)
     for made, times in bins:

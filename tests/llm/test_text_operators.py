@@ -89,6 +89,20 @@ def test_plan_beats_decreasing_best_fit_where_thirds_meet():
     assert placed == {690: 800, 680: 800, 1000: 800, 1040: 800, 333: 800}
 
 
+def test_program_covers_every_length_and_places_nearly_all_pieces():
+    rng = random.Random(5)
+    demand = {length: rng.randint(1, 2000) for length in rng.sample(range(4, 512), 200)}
+    covered = Counter()
+    for made, x in packing.fractional(demand, 512):
+        assert sum(length * k for length, k in made.items()) <= 512
+        for length, k in made.items():
+            covered[length] += k * x
+    assert all(covered[length] > n * (1 - 1e-9) for length, n in demand.items())
+    left = Counter(demand)
+    packing.program(left, 512)
+    assert sum(left.values()) < 0.001 * sum(demand.values())
+
+
 def base_spans(text):
     out = []
     for kind, expression, enough in (("assign", secret_scan.ASSIGN, lambda m: len(m.group(2)) >= 6), ("access", secret_scan.ACCESS, lambda m: len(m.group()) >= 20), ("hex", secret_scan.HEX, lambda m: len(m.group()) >= 24)):
