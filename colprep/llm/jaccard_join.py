@@ -100,6 +100,18 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, sketch binary")
 
 
+def set_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """key (digest of the word sequence), set (shingles) of every row, once per batch."""
+
+    def run(batches):
+        for batch in batches:
+            for _, digests, values, at in shingle_sets(batch.column(0)):
+                once = list({d: k for k, d in enumerate(digests)}.values())
+                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in once], pa.binary()), pa.array([values[at[k] : at[k + 1]].tobytes() for k in once], pa.binary())], names=["key", "set"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key binary, set binary")
+
+
 def children(node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, child) for every coordinate that a row's node samples."""
     lots = mixed(node[:, None] * _ODD + np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -347,22 +359,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     found = written(clusters(sets, recall), "clusters")
     # Whole sets of the texts in clusters, one text per class.
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    member = found.join(sizes, "root").join(classes.select("key", "first", "weight"), "key")
-    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).cast("string").alias("text")).join(member.where("first IS NOT NULL"), "first")
-
-    def run(batches):
-        for batch in batches:
-            wanted = batch.column("key")
-            for low, digests, values, at in shingle_sets(batch.column("text")):
-                # a doc_id that several texts share is told apart by the digest
-                keep = [k for k, d in enumerate(digests) if wanted[low + k].as_py() == d]
-                part = batch.slice(low, len(digests)).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("root"), part.column("size"), part.column("weight"), pa.array([values[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())],
-                    names=["key", "root", "size", "weight", "set"],
-                )
-
-    whole = texts.select("key", "root", "size", "weight", "text").mapInArrow(run, "key binary, root binary, size long, weight long, set binary")
+    member = found.join(sizes, "root").join(classes.select("key", "weight"), "key")
+    whole = set_table(docs, text_col).join(member, "key").dropDuplicates(["key"]).select("key", "root", "size", "weight", "set")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     whole = written(whole.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "sets")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -182,6 +182,21 @@ def test_jaccard_join_equals_brute_force(spark, docs, monkeypatch):
     assert jaccard_join.similar_documents(docs([]).limit(0)).count() == 0
 
 
+def test_jaccard_join_counts_repeated_rows_and_null_ids(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    near = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in (20, 90, 160)]
+    bridge = [word() for _ in range(200)]  # its ends are similar to the middle one only
+    chain = [" ".join([*bridge[: 200 - k], *(word() for _ in range(k))]) for k in (0,)] + [" ".join(bridge[15:] + [word() for _ in range(15)])] + [" ".join(bridge[30:] + [word() for _ in range(15)])]
+    rows = [(1, near[0])] * 4 + [(2, near[1]), (None, near[2]), (None, near[2]), (3, chain[0]), (None, chain[1]), (4, chain[2]), (None, "apart from all others here"), (6, "one more text of its own")]
+    want = brute_links([t for _, t in rows])
+    ids = lambda root: min((rows[k][0] for k, r, _ in want if r == root and rows[k][0] is not None), default=None)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in jaccard_join.similar_documents(table).collect())
+    assert got == Counter((rows[k][0], ids(root), n) for k, root, n in want)
+
+
 def test_common_subsequence_against_table():
     rng = random.Random(4)
     for _ in range(200):
