@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from colprep.llm.common import lower_bytes, mixed, partitions, shingles, slices, span_hashes, words, written
 
@@ -351,8 +352,8 @@ def _check_blocks(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "key").mapInArrow(run, "key binary, links long, root binary")
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links for every row of docs."""
+def _rooted(docs: DataFrame, similarity: float, recall: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and per class of equal texts: key, first (smallest doc_id), n_links, root of its group."""
     sketches = written(sketch_table(docs, id_col, text_col), "sketches")
     classes = written(sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     sets = classes.where("n > 0").select("key", "sketch")
@@ -376,6 +377,12 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
         root = root.join(merged, "key", "left").select("key", F.coalesce("whole", "root").alias("root"))
     rooted = classes.select("key", "first", "weight").join(root, "key", "left").join(links, "key", "left")
     rooted = written(rooted.select("key", "first", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root")), "rooted")
+    return sketches, rooted
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, n_links for every row of docs."""
+    sketches, rooted = _rooted(docs, similarity, recall, id_col, text_col)
     # groups of one class need no second look
     grouped = rooted.where("n_links > 0").groupBy("root").agg(F.min("first").alias("class_id"))
     named = rooted.join(grouped, "root", "left").select("key", F.coalesce("class_id", "first").alias("class_id"), "n_links")
@@ -383,8 +390,23 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id; all columns stay."""
-    found = similar_documents(docs)
-    keep = found.where("doc_id = class_id").select("doc_id").distinct()
-    # repeated rows of one doc_id are copies as well
-    return docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One row of each group stays: of the class with the smallest doc_id, that with this id; all columns stay.
+
+    A class whose ids are all null comes last in its group, by digest, and one of its rows stays if it is alone.
+    Rows are told apart by the digest of their words, so different texts that share a doc_id are no copies.
+    """
+    _, rooted = _rooted(docs, SIMILARITY, RECALL)
+    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("c")).select(F.col("c.key").alias("kept_key"), F.col("c.first").alias("kept_id"))
+    digest = "digest"
+    while digest in docs.columns:
+        digest += "_"
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            digests = [d for _, found, _, _ in shingle_sets(batch.column(at)) for d in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, digest])
+
+    keyed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(digest, BinaryType())]))
+    kept = keyed.join(chosen, (keyed[digest] == chosen["kept_key"]) & keyed["doc_id"].cast("long").eqNullSafe(chosen["kept_id"]))
+    return kept.dropDuplicates([digest]).select(*docs.columns)

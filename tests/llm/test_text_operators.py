@@ -197,6 +197,16 @@ def test_jaccard_join_counts_repeated_rows_and_null_ids(spark):
     assert got == Counter((rows[k][0], ids(root), n) for k, root, n in want)
 
 
+def test_drop_similar_keeps_null_and_shared_ids(spark):
+    words = [f"w{k}" for k in range(120)]
+    copy = " ".join(["other", *words[1:]])
+    rows = [(None, "a clean text that nobody else has"), (None, "twice the same text stands here"), (None, "twice the same text stands here"), (5, "first text of a shared id is here"), (5, "second one is about another thing entirely")]
+    rows += [(7, " ".join(words)), (None, copy), (9, copy)]
+    table = spark.createDataFrame([(*r, b"k") for r in rows], "doc_id long, text string, digest binary")
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.drop_similar(table).collect())
+    assert got == Counter({rows[k]: 1 for k in (0, 1, 3, 4, 5)})
+
+
 def test_common_subsequence_against_table():
     rng = random.Random(4)
     for _ in range(200):
