@@ -41,6 +41,7 @@ BLOCK_TAGS = frozenset(
 SKIPPED_TAGS = frozenset("script style noscript template svg title head textarea select button iframe object math".split())
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript object script style template title".split())  # what can stand in head
 CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 # Words of tags, classes and ids that speak for or against main text; used for labels only.
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
@@ -88,6 +89,9 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
         else:
             match_end, text = match.end(), match.group(4)
         if text:
+            if stack and stack[-1][0] == "head" and text.strip():
+                pop_to(len(stack) - 1)  # or where text stands
+                path = tuple(e for _, e in stack if e[0] in BLOCK_TAGS)
             if not skip:
                 parts.append(text)
                 total += len(text)
@@ -95,6 +99,9 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
         elif match is not None and match.group(2):
             tag = match.group(2).lower()
             block = tag in BLOCK_TAGS
+            if stack and stack[-1][0] == "head" and not match.group(1) and tag not in HEAD_TAGS and tag != "head":
+                pop_to(len(stack) - 1)  # head ends where a tag opens that cannot stand in it
+                path = tuple(e for _, e in stack if e[0] in BLOCK_TAGS)
             if block:
                 flush()
             elif tag == "br" and not skip:

@@ -27,6 +27,15 @@ def test_blocks_of_broken_markup():
     assert html_extract.blocks("") == []
 
 
+def test_blocks_without_optional_tags():
+    body = "<h1>Big</h1><p>x <b>y</b><p>z"
+    heads = ["<html><head><title>t</title><meta a=1><body>", "<head><title>t</title>", "<html><head><script>1</script></head><body>", "<title>t</title>", "<html><head>\n<noscript><p>n</p></noscript><style>p{}</style>\n", ""]
+    for head in heads:
+        assert [text for _, text, _ in html_extract.blocks(head + body)] == ["Big", "x y", "z"], head
+    assert [text for _, text, _ in html_extract.blocks("<head><title>t</title>plain <i>text</i>")] == ["plain text"]
+    assert [text for _, text, _ in html_extract.blocks("<head><title>t</title><span>plain</span> text")] == ["plain text"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = html_extract.Labeller()
