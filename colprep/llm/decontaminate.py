@@ -58,11 +58,13 @@ class Benchmark:
             own, stop = numbers[before[k] : before[k + 1]], stops[before[k] : before[k + 1]]
             last = np.flatnonzero(stop[:-1])
             answer = own[last[-1] + 1 :] if len(last) else own
-            for low in range(0, len(own), PIECE):
-                part = own[low : low + PIECE]
+            count = -(-len(own) // PIECE)
+            cuts = [len(own) * k // count for k in range(count + 1)] if count else []  # pieces of even length
+            for low, high in zip(cuts, cuts[1:]):
+                part = own[low:high]
                 self.items.append(item_id)
                 self.pieces.append(part)
-                self.answers.append(answer if low + PIECE >= len(own) else part)
+                self.answers.append(answer if high == len(own) else part)
         self.half = max((len(p) for p in self.pieces), default=1)
         self.filter = np.zeros(_FILTER, bool)
         self.filter[(self.hashes & np.uint64(_FILTER - 1)).astype(np.int64)] = True
@@ -294,6 +296,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents without a benchmark passage, with all their columns."""
-    bad = leaks(docs, items).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a benchmark passage, with all their columns. Rows are told apart by a hash of id and text."""
+    row = F.xxhash64("doc_id", F.col("text").cast("string"))
+    bad = leaks(docs.select(row.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("leaked_row")).distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == bad["leaked_row"], "left_anti").select(*docs.columns)

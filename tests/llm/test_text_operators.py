@@ -233,3 +233,18 @@ def test_leaks_are_found_and_clean_documents_stay(spark, docs):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table.unionAll(extra), items.unionAll(items.limit(1).selectExpr("item_id", "cast(null as string)"))).collect()}
     assert want | {(10**6, planted[0]), (10**6 + 1, planted[0])} <= got and not {d for d, _ in got} & {10**6 + 2, 10**6 + 3}
     assert decontaminate.leaks(table, items.limit(0)).count() == 0 and decontaminate.leaks(table.limit(0), items).count() == 0
+
+
+def test_long_items_are_cut_evenly():
+    for n in (1, 128, 129, 257, 400):
+        pieces = decontaminate.Benchmark([(1, " ".join(f"w{k}" for k in range(n)))]).pieces
+        sizes = [len(p) for p in pieces]
+        assert sum(sizes) == n and max(sizes) <= decontaminate.PIECE and max(sizes) - min(sizes) <= 1
+
+
+def test_leaks_with_null_ids_are_dropped(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    leak = items.first()["text"]
+    rows = [(None, leak), (None, "a clean text"), (1, f"before {leak} after"), (1, "another clean text")]
+    got = decontaminate.drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(r["text"] for r in got) == ["a clean text", "another clean text"]
