@@ -202,7 +202,12 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """Documents with a language: the filter of the pipeline, with all their columns."""
+    """Documents with a language: the filter of the pipeline, with all their columns.
+
+    Only texts without a letter go (all, if no language can be learned); the machines' score rejects nothing.
+    Rows are told apart by a hash of id and text.
+    """
     model = fit(docs.where(F.coalesce(remainder(), F.lit(0)) != 2))
-    rejected = predict(docs, model).where("lang_pred = 'und'").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("doc_id"), "text")
+    rejected = predict(rows, model).where("lang_pred = 'und'").select(F.col("doc_id").alias("rejected_row")).distinct()
+    return docs.join(rejected, F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == rejected["rejected_row"], "left_anti").select(*docs.columns)

@@ -248,3 +248,9 @@ def test_leaks_with_null_ids_are_dropped(spark):
     rows = [(None, leak), (None, "a clean text"), (1, f"before {leak} after"), (1, "another clean text")]
     got = decontaminate.drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
     assert sorted(r["text"] for r in got) == ["a clean text", "another clean text"]
+
+
+def test_letterless_texts_with_null_ids_are_dropped(spark):
+    rows = [(k, "the thing and of", "en") for k in range(8)] + [(None, "12 !", "en"), (None, "the thing", "en"), (3, "?", "en")]
+    got = language_id.drop_undetermined(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(r["text"] for r in got) == ["the thing"] + ["the thing and of"] * 8
