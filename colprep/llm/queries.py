@@ -6,7 +6,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprep.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, packing, secret_scan, token_files, topk_index, warc
+from colprep.llm import (
+    chat_format, decontaminate, filter_audit, html_extract, jaccard_join, language_id, packing, quality_rules, secret_scan, token_files, topk_index, vector_codes, warc,
+)
 from colprep.llm.common import read
 
 TOOLS = [
@@ -78,13 +80,28 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan_documents(read(spark, sf, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.audit(read(spark, sf, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_chat_format, op3_best_fit_packing, op4_decontamination, op5_html_text, op6_top_k, op7_token_files, op8_language_id, op9_warc, op10_secret_scan, pipeline)
+    for f in (
+        op1_jaccard_join, op2_chat_format, op3_best_fit_packing, op4_decontamination, op5_html_text, op6_top_k, op7_token_files, op8_language_id, op9_warc, op10_secret_scan,
+        op11_quality_rules, op12_vector_codes, op13_filter_audit, pipeline,
+    )
 }
 
 ORACLE = {
@@ -165,5 +182,96 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
+    "op11_quality_rules": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), g AS (
+  SELECT r, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'i': i, 'g': array_to_string(ws[i:i + 2], ' ')}), recursive := true) FROM w WHERE len(ws) >= 3
+), twice AS (
+  SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), rep AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) AS t(k) GROUP BY r
+), m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) AS n_lettered,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS n_bullets
+  FROM w LEFT JOIN rep USING (r)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 100 * n_capitals > 30 * word_chars
+    OR 100 * n_lettered < 80 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_bullets > 90 * n_lines) AS kept
+FROM f
+""",
+    "op12_vector_codes": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT r, vec_id, label, p, e[p * len(e) // 16 + 1:(p + 1) * len(e) // 16] AS x FROM v, range(16) AS t(p)
+), c0 AS (
+  SELECT p, x AS c, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM parts QUALIFY k < 64
+), a1 AS (
+  SELECT r, parts.p, any_value(x) AS x, min({'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': k}) AS best FROM parts JOIN c0 ON parts.p = c0.p GROUP BY r, parts.p
+), m1 AS (
+  SELECT p, k, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS c FROM (
+    SELECT p, best.k AS k, j, sum(x[j]) AS s, count(*) AS n FROM a1, range(1, 1000) AS t(j) WHERE j <= len(x) GROUP BY ALL
+  ) GROUP BY p, k
+), c1 AS (
+  SELECT p, k, coalesce(m1.c, c0.c) AS c FROM c0 LEFT JOIN m1 USING (p, k)
+), a2 AS (
+  SELECT r, parts.p, any_value(x) AS x, min({'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': k}) AS best FROM parts JOIN c1 ON parts.p = c1.p GROUP BY r, parts.p
+), m2 AS (
+  SELECT p, k, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS c FROM (
+    SELECT p, best.k AS k, j, sum(x[j]) AS s, count(*) AS n FROM a2, range(1, 1000) AS t(j) WHERE j <= len(x) GROUP BY ALL
+  ) GROUP BY p, k
+), c2 AS (
+  SELECT p, k, coalesce(m2.c, c1.c) AS c FROM c1 LEFT JOIN m2 USING (p, k)
+), a3 AS (
+  SELECT r, parts.p, any_value(vec_id) AS vec_id, any_value(label) AS label, min({'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': k}) AS best
+  FROM parts JOIN c2 ON parts.p = c2.p GROUP BY r, parts.p
+), coded AS (
+  SELECT any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a3 GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) FROM c2) AS codebooks_sha256
+FROM coded
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), first AS (
+  SELECT text, min(doc_id) AS id FROM d GROUP BY text
+), l AS (
+  SELECT doc_id, max(CAST(coalesce(quality, 0) = 1 AS INT)) AS good, max(CAST(coalesce(toxic, 0) = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text) AS INT)
+    + 8 * CAST(regexp_matches(d.text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(d.doc_id > first.id, false) AS INT) AS mask,
+    count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM d JOIN first ON first.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY ALL
+), orders(o, applied, n) AS (
+  SELECT '', 0, 0 UNION ALL SELECT o || substr('ABCDE', k + 1, 1), applied | (1 << k), n + 1 FROM orders, (SELECT CAST(range AS INT) AS k FROM range(5)) WHERE applied & (1 << k) = 0
+), steps AS (
+  SELECT o, s, 1 << (instr('ABCDE', substr(o, s, 1)) - 1) AS bit, list_sum(list_transform(range(1, s), lambda i: 1 << (instr('ABCDE', substr(o, i, 1)) - 1))) AS earlier
+  FROM orders, (SELECT CAST(range AS INT) AS s FROM range(1, 6)) WHERE n = 5
+), m AS (
+  SELECT part, o AS filter_order, s AS step, bit,
+    CAST(coalesce(sum(n) FILTER (mask & (coalesce(earlier, 0) | bit) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (mask & coalesce(earlier, 0) <> 0 AND mask & bit <> 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0), 0) AS BIGINT) AS toxic_lost
+  FROM c, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM m
 """,
 }
