@@ -1,41 +1,133 @@
-"""Exact quantiles that stay bounded at any row count.
-
-Spark's exact ``percentile`` keeps a value -> count map per group, so its state
-grows with the number of distinct values. It is used only while an approximate
-distinct count, taken first, proves that map small. Beyond that the wanted
-order statistics are located by bracketing: every round asks
-``percentile_approx`` for three probes around the wanted rank, counts rows
-below and at each probe exactly, and keeps the one interval that must hold the
-rank. A round is two aggregates without any row shuffle and narrows the
-interval by a factor of about a thousand, so a trillion rows need four or five.
+"""Exact quantiles by radix descent.
+
+Every double has an integer code of the same order (its IEEE bits, negated for
+negative numbers). A wanted order statistic starts with the interval of all
+values and is narrowed digit by digit: a round cuts each open interval into
+aligned ranges of codes, counts the rows (or sums their weights) per range, and
+keeps the one range in which the cumulative count passes the wanted rank,
+shrunk to the smallest and largest value seen in it. A range of one value is
+the answer.
+
+A round is one aggregate by range number, combined in the tasks before it is
+shuffled. No task and no collected table holds more than ``TABLE`` rows,
+whatever the number of rows, distinct values or columns. The same path serves
+every size: few distinct values end in the first round, 64-bit noise after
+some five.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Total number of map entries allowed in one exact ``percentile`` aggregate.
-DISTINCT_LIMIT = 1_000_000
-ACCURACY = 10_000
-_MAX_ROUNDS = 60
+from colprep.functions.exprs import literal_rows
 
+TABLE = 1 << 16  # ranges of all open intervals of a round together
+MAX_RANGES = 1 << 12  # of one interval
 
-def exact_quantiles(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    probs: Sequence[float],
-    sizes: Mapping[str, tuple[int, int]] | None = None,
-    distinct_limit: int = DISTINCT_LIMIT,
-) -> dict[str, list[float | None]]:
+# Fixed values of the IEEE format.
+_MAX = 1.7976931348623157e308
+_LEAST_EXPONENT, _MOST_EXPONENT, _MANTISSA = -1022, 1023, 52
+
+
+def code_of(x: float) -> int:
+    """Integer of the same order as the double; NaN is above infinity, both zeros are 0."""
+    if math.isnan(x):
+        return 0x7FF0_0000_0000_0001
+    bits = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+    return -bits if x < 0 else bits
+
+
+def with_code(df: DataFrame, value: str, name: str = "code") -> DataFrame:
+    """Add the code of a double column without nulls, in generated code only.
+
+    Exponent and fraction come from a logarithm that is then corrected, so the
+    result is the bit pattern itself. Each step is a projection of its own: the
+    optimizer keeps them apart, and no subexpression is evaluated twice.
+    """
+    keep = df.columns
+    power = F.pow(F.lit(2.0), F.col("__e").cast("double"))
+    steps = df.select("*", F.least(F.abs(value), F.lit(_MAX)).alias("__a"))
+    steps = steps.select("*", F.greatest(F.least(F.floor(F.coalesce(F.log2("__a"), F.lit(float(_LEAST_EXPONENT)))), F.lit(_MOST_EXPONENT)), F.lit(_LEAST_EXPONENT)).alias("__e"))
+    steps = steps.select("*", power.alias("__p"))
+    steps = steps.select("*", (F.col("__a") >= 2 * F.col("__p")).cast("int").alias("__up"), ((F.col("__a") < F.col("__p")) & (F.col("__e") > _LEAST_EXPONENT)).cast("int").alias("__down"))
+    fraction = F.col("__a") / (F.col("__p") * (1 + F.col("__up")) / (1 + F.col("__down")))
+    bits = (F.col("__e") + F.col("__up") - F.col("__down") - _LEAST_EXPONENT) * F.lit(1 << _MANTISSA) + (fraction * float(1 << _MANTISSA)).cast("long")
+    beyond = (F.abs(value) > F.lit(_MAX)).cast("int") + F.isnan(value).cast("int")
+    return steps.select(*keep, ((bits + beyond) * F.when(F.col(value) < 0, -1).otherwise(1)).alias(name))
+
+
+@dataclass
+class _Interval:
+    """Values of a column that must hold the wanted places; ``below`` rows (or weight) lie before them."""
+
+    column: int
+    lo: float
+    hi: float
+    below: float
+    wanted: list = field(default_factory=list)  # (target, key): the first value whose cumulative count reaches the target
+
+    def cut(self, ranges: int) -> tuple[int, int, int]:
+        """(shift, first range, number of ranges), the ranges aligned to the shift."""
+        lo, hi = code_of(self.lo), code_of(self.hi)
+        shift = max(0, (hi - lo).bit_length() - ranges.bit_length() + 1)
+        while (hi >> shift) - (lo >> shift) >= ranges:
+            shift += 1
+        return shift, lo >> shift, (hi >> shift) - (lo >> shift) + 1
+
+
+def _round(values: DataFrame, intervals: list[_Interval]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """First slot of each interval, and the counted ranges by ascending slot."""
+    ranges = max(2, min(MAX_RANGES, TABLE // len(intervals)))
+    rows, starts, slot = [], [], 0
+    for s in intervals:
+        shift, first, count = s.cut(ranges)
+        rows.append((s.column, s.lo, s.hi, shift, first, slot))
+        starts.append(slot)
+        slot += count
+    cuts = F.broadcast(literal_rows(values.sparkSession, rows, "__c int, __lo double, __hi double, __shift int, __first long, __slot long"))
+    inside = values.join(cuts, (F.col("i") == F.col("__c")) & (F.col("x") >= F.col("__lo")) & (F.col("x") <= F.col("__hi")))
+    ranged = with_code(inside, "x").withColumn("slot", F.col("__slot") + F.expr("shiftright(code, __shift)") - F.col("__first"))
+    table = ranged.groupBy("slot").agg(F.sum("w").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).toArrow().sort_by("slot")
+    return np.array([*starts, slot]), {name: table[name].to_numpy() for name in ("slot", "n", "lo", "hi")}
+
+
+def descend(values: DataFrame, intervals: list[_Interval]) -> dict:
+    """{key: (value, cumulative count or weight up to it)} for the targets of all intervals.
+
+    ``values`` has a column number ``i``, a double ``x`` without nulls and a count
+    or weight ``w``. Rounding may leave the ranges of a weight sum a little short of
+    their target; the last range of the interval then holds it.
+    """
+    found = {}
+    pending = list(intervals)
+    while pending:
+        batch, pending = pending[: TABLE // 16], pending[TABLE // 16 :]
+        starts, table = _round(values, batch)
+        for s, a, b in zip(batch, np.searchsorted(table["slot"], starts[:-1]), np.searchsorted(table["slot"], starts[1:])):
+            reached = s.below + np.cumsum(table["n"][a:b])
+            narrower: dict[int, _Interval] = {}
+            for target, key in s.wanted:
+                k = min(int(np.searchsorted(reached, target)), b - a - 1)
+                lo, hi = float(table["lo"][a + k]), float(table["hi"][a + k])
+                if code_of(lo) == code_of(hi):
+                    found[key] = (lo, reached[k])
+                else:
+                    below = reached[k - 1] if k else s.below
+                    narrower.setdefault(k, _Interval(s.column, lo, hi, below)).wanted.append((target, key))
+            pending += narrower.values()
+    return found
+
+
+def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several expressions.
 
-    ``sizes`` gives the (non-null, approximate distinct) counts when they are
-    known already; otherwise one more aggregate finds them.
     Returns ``{name: [quantile per prob]}``, ``None`` for columns without values.
     The result is a few numbers per column, small enough to inline as literals.
     """
@@ -43,124 +135,32 @@ def exact_quantiles(
     if not names:
         return {}
     base = df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])
-    if sizes is None:
-        row = base.agg(
-            *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-            *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(names))],
-        ).first()
-        sizes = {name: (row[f"n{i}"], row[f"d{i}"]) for i, name in enumerate(names)}
-
-    result: dict[str, list[float | None]] = {}
-    large: list[int] = []
-    batch: list[int] = []
-    filled = 0
-    batches: list[list[int]] = []
-    for i, name in enumerate(names):
-        n, d = sizes[name]
-        # approx_count_distinct is off by 5 % (one standard deviation); leave room for it.
-        need = min(n, int(d * 1.3) + 1)
-        if n == 0:
-            result[name] = [None] * len(probs)
-        elif need > distinct_limit:
-            large.append(i)
-        else:
-            if batch and filled + need > distinct_limit:
-                batches.append(batch)
-                batch, filled = [], 0
-            batch.append(i)
-            filled += need
-    if batch:
-        batches.append(batch)
-
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    for batch in batches:
-        row = base.agg(*[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in batch]).first()
-        for i in batch:
-            result[names[i]] = list(row[f"q{i}"])
-    if large:
-        result.update(_by_rank(base, {i: (names[i], sizes[names[i]][0]) for i in large}, probs))
-    return {name: result[name] for name in names}
-
-
-@dataclass
-class _Search:
-    """Open interval (lo, hi) known to hold the value of a 0-based rank."""
-
-    column: int
-    rank: int
-    n: int
-    below: int = 0
-    lo: float | None = None
-    hi: float | None = None
-    value: float | None = None
-
-    def inside(self) -> Column:
-        x = F.col(f"v{self.column}")
-        cond = x.isNotNull()
-        if self.lo is not None:
-            cond = cond & (x > F.lit(self.lo))
-        if self.hi is not None:
-            cond = cond & (x < F.lit(self.hi))
-        return cond
-
-
-def _by_rank(base: DataFrame, columns: Mapping[int, tuple[str, int]], probs: Sequence[float]):
-    searches: dict[tuple[int, int], _Search] = {}
-    for i, (_, n) in columns.items():
-        for p in probs:
-            pos = p * (n - 1)
-            for rank in {math.floor(pos), math.ceil(pos)}:
-                searches[i, rank] = _Search(i, rank, n)
-    for _ in range(_MAX_ROUNDS):
-        open_ = [s for s in searches.values() if s.value is None]
-        if not open_:
-            break
-        _narrow(base, open_)
-    else:
-        raise RuntimeError("quantile search did not converge")
+    ends = base.agg(*[f(f"v{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    intervals = []
+    for i in range(len(names)):
+        if n := ends[f"n{i}"]:
+            ranks = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+            intervals.append(_Interval(i, ends[f"lo{i}"], ends[f"hi{i}"], 0, [(r + 1, (i, r)) for r in ranks]))
+    stacked = base.select(F.explode(F.array(*[F.struct(F.lit(s.column).alias("i"), F.col(f"v{s.column}").alias("x")) for s in intervals])).alias("v")) if intervals else None
+    found = descend(stacked.select("v.i", "v.x", F.lit(1).alias("w")).where("x IS NOT NULL"), intervals) if intervals else {}
 
     result = {}
-    for i, (name, n) in columns.items():
-        row = []
-        for p in probs:
-            pos = p * (n - 1)
-            low, high = math.floor(pos), math.ceil(pos)
-            a, b = searches[i, low].value, searches[i, high].value
-            row.append(a if low == high else a + (b - a) * (pos - low))
-        result[name] = row
+    for i, name in enumerate(names):
+        n, row = ends[f"n{i}"], []
+        for p in probs if n else ():
+            place = p * (n - 1)
+            low, high = math.floor(place), math.ceil(place)
+            a, b = found[i, low][0], found[i, high][0]
+            row.append(a if low == high or a == b else a + (b - a) * (place - low))
+        result[name] = row if n else [None] * len(probs)
     return result
 
 
-def _narrow(base: DataFrame, searches: list[_Search]) -> None:
-    margin = 3.0 / ACCURACY
-    aggs = []
-    for k, s in enumerate(searches):
-        share = (s.rank - s.below + 0.5) / s.n
-        probes = [min(max(share + d, 0.0), 1.0) for d in (-margin, 0.0, margin)]
-        x = F.when(s.inside(), F.col(f"v{s.column}"))
-        aggs.append(F.percentile_approx(x, probes, ACCURACY).alias(f"p{k}"))
-    probes_row = base.agg(*aggs).first()
-
-    points = [sorted(set(probes_row[f"p{k}"])) for k in range(len(searches))]
-    aggs = []
-    for k, s in enumerate(searches):
-        x, inside = F.col(f"v{s.column}"), s.inside()
-        for j, point in enumerate(points[k]):
-            aggs.append(F.count(F.when(inside & (x < F.lit(point)), 1)).alias(f"lt{k}_{j}"))
-            aggs.append(F.count(F.when(inside & (x <= F.lit(point)), 1)).alias(f"le{k}_{j}"))
-    counts = base.agg(*aggs).first()
-
-    for k, s in enumerate(searches):
-        start, end = s.below, s.below + s.n
-        lo, hi = s.lo, s.hi
-        for j, point in enumerate(points[k]):
-            below = s.below + counts[f"lt{k}_{j}"]
-            upto = s.below + counts[f"le{k}_{j}"]
-            if below <= s.rank < upto:
-                s.value = point
-                break
-            if s.rank < below:
-                hi, end = point, below
-                break
-            lo, start = point, upto
-        s.lo, s.hi, s.below, s.n = lo, hi, start, end - start
+def weighted_descent(df: DataFrame, value: Column, weight: Column, probs: Sequence[float], slack: float = 0.0) -> dict[float, tuple[float, float]]:
+    """{p: (smallest value whose cumulative weight reaches p of the total, that weight)}; weights below 0 are not meant."""
+    rows = df.select(F.lit(0).alias("i"), value.cast("double").alias("x"), weight.cast("double").alias("w")).where("x IS NOT NULL AND w IS NOT NULL")
+    ends = rows.agg(F.sum("w").alias("total"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if ends["total"] is None:
+        return {}
+    wanted = [(p * ends["total"] * (1 - slack), p) for p in dict.fromkeys(probs)]
+    return descend(rows, [_Interval(0, ends["lo"], ends["hi"], 0.0, wanted)])

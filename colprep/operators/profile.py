@@ -129,7 +129,7 @@ class TableProfile:
 
     @cached_property
     def pass_a(self) -> dict[str, dict]:
-        """Counts, extremes and sketches, then moments centred on the means.
+        """Counts and extremes, then moments centred on the means.
 
         Two aggregates of plain sums over all columns. They compile to small
         generated code, and centring keeps the higher moments accurate.
@@ -140,11 +140,11 @@ class TableProfile:
             if name in self.numeric:
                 x = num(self.df, name)
                 aggs += [F.sum(x).alias(f"sum_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"),
-                         count_if(F.abs(x) == F.lit(float("inf"))).alias(f"inf_{i}"), F.approx_count_distinct(x).alias(f"hll_{i}")]
+                         count_if(F.abs(x) == F.lit(float("inf"))).alias(f"inf_{i}")]
         row = self.df.agg(*aggs).first().asDict()
         out = {}
         for i, name in enumerate(self.columns):
-            stats = {k: row.get(f"{k}_{i}") for k in ("sum", "min", "max", "inf", "hll")}
+            stats = {k: row.get(f"{k}_{i}") for k in ("sum", "min", "max", "inf")}
             n = row[f"nn_{i}"]
             out[name] = {"rows": row["rows"], "non_null": n, "missing": row["rows"] - n, **stats,
                          "mean": stats["sum"] / n if n and stats["sum"] is not None else None,
@@ -171,18 +171,13 @@ class TableProfile:
                 s["skew"] = (row[f"d3_{i}"] / n) / (d2 / n) ** 1.5
                 s["kurt"] = (row[f"d4_{i}"] / n) / (d2 / n) ** 2 - 3.0
 
-    @property
-    def sizes(self) -> dict[str, tuple[int, int]]:
-        """Non-null and approximate distinct counts, for the quantile search."""
-        return {x: (self.pass_a[x]["non_null"], self.pass_a[x]["hll"]) for x in self.numeric}
-
     @property
     def rows(self) -> int:
         return next(iter(self.pass_a.values()))["rows"]
 
     @cached_property
     def quartiles(self) -> dict[str, list[float | None]]:
-        return exact_quantiles(self.df, {x: num(self.df, x) for x in self.numeric}, QUARTILES, self.sizes)
+        return exact_quantiles(self.df, {x: num(self.df, x) for x in self.numeric}, QUARTILES)
 
     @cached_property
     def vf(self) -> DataFrame:

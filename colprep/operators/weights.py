@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colprep.functions.exprs import c, count_if, is_numeric, literal_rows, num, numeric_columns, percent, ratio
-from colprep.functions.ordered import BUCKET, assign_buckets
-from colprep.functions.quantiles import exact_quantiles
+from colprep.functions.quantiles import exact_quantiles, weighted_descent
 from colprep.functions.statfn import normal_quantile, t_quantile
 
 # Limits of the warnings and recommendations.
@@ -102,48 +101,11 @@ def weighted_summary(df: DataFrame, columns: Sequence[str], weights: str) -> Dat
     )
 
 
-def weighted_quantiles(df: DataFrame, column: str, weights: str, probs: Sequence[float] = (0.25, 0.5, 0.75), buckets: int | None = None) -> DataFrame:
-    """Smallest value whose cumulative weight reaches ``p`` of the total.
-
-    Rows first collapse to one per value. Range buckets of the value carry
-    their weight in a small table, and only the buckets in which a target falls
-    are sorted.
-    """
-    x, w = num(df, column), _check(df, weights)
-    values = (
-        df.select(x.alias("x"), w.alias("w")).where("x IS NOT NULL AND w IS NOT NULL")
-        .groupBy("x").agg(F.sum("w").alias("w"))
-    )
-    cut = assign_buckets(values, ["x"], buckets)
-    sums = cut.groupBy(BUCKET).agg(F.sum("w").alias("s"), F.max("x").alias("top")).orderBy(BUCKET).collect()  # one row per bucket
-    schema = "column string, p double, value double, cumulative_weight double"
-    if not sums:
-        return literal_rows(df.sparkSession, [], schema)
-    total = sum(r["s"] for r in sums)
-    targets, offsets, running = [], {}, 0.0
-    for r in sums:
-        offsets[r[BUCKET]] = running
-        running += r["s"]
-    for p in probs:
-        hit = None
-        for r in sums:
-            # slack for the rounding of float sums; the neighbour bucket is searched as well
-            if offsets[r[BUCKET]] + r["s"] >= p * total * (1 - 1e-12):
-                hit = r[BUCKET]
-                break
-        order = [r[BUCKET] for r in sums]
-        at = order.index(hit if hit is not None else order[-1])
-        for b in order[at : at + 2]:
-            targets.append((float(p), p * total * (1 - 1e-12), b, offsets[b]))
-    wanted = F.broadcast(literal_rows(df.sparkSession, targets, f"p double, target double, {BUCKET} long, off double"))
-    window = Window.partitionBy("p", BUCKET).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    reached = (
-        cut.join(wanted, BUCKET)
-        .withColumn("cum", F.col("off") + F.sum("w").over(window))
-        .where(F.col("cum") >= F.col("target"))
-        .groupBy("p").agg(F.min("x").alias("value"), F.min_by("cum", "x").alias("cumulative_weight"))
-    )
-    return reached.select(F.lit(column).alias("column"), "p", "value", "cumulative_weight")
+def weighted_quantiles(df: DataFrame, column: str, weights: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Smallest value whose cumulative weight reaches ``p`` of the total (less the rounding of float sums)."""
+    found = weighted_descent(df, num(df, column), _check(df, weights), [float(p) for p in probs], 1e-12)
+    rows = [(column, p, value, float(reached)) for p, (value, reached) in found.items()]
+    return literal_rows(df.sparkSession, rows, "column string, p double, value double, cumulative_weight double")
 
 
 def weighted_top(df: DataFrame, column: str, weights: str, k: int = 5) -> DataFrame:

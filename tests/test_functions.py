@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colprep.functions import statfn
+from colprep.functions import quantiles, statfn
 from colprep.functions.names import matches, tokens
 from colprep.functions.ordered import BUCKET, assign_buckets, with_position
 from colprep.functions.quantiles import exact_quantiles
@@ -38,13 +38,14 @@ def test_known_quantiles():
     assert statfn.normal_quantile(0.975) == pytest.approx(1.959963984540054)
 
 
-@pytest.mark.parametrize("limit", [10**6, 50])
-def test_quantiles_match_pandas(spark, limit):
+@pytest.mark.parametrize("ranges", [2, 50, 4096])
+def test_quantiles_match_pandas(spark, monkeypatch, ranges):
+    monkeypatch.setattr(quantiles, "MAX_RANGES", ranges)
     rng = random.Random(3)
     data = [(None if rng.random() < 0.1 else rng.gauss(0, 100), float(rng.choice([1, 1, 1, 2, 9]))) for _ in range(5000)]
     df = spark.createDataFrame(data, "a double, b double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b"), "none": F.lit(None)}, probs, distinct_limit=limit)
+    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b"), "none": F.lit(None)}, probs)
     pdf = pd.DataFrame(data, columns=["a", "b"])
     for name in ("a", "b"):
         assert got[name] == pytest.approx(pdf[name].quantile(probs).tolist(), rel=1e-12)
@@ -57,7 +58,49 @@ def test_quantile_search_with_heavy_ties(spark):
     df = spark.createDataFrame(rows, "x double")
     probs = [0.1, 0.33, 0.5, 0.66, 0.9]
     want = pd.Series([r[0] for r in rows]).quantile(probs).tolist()
-    assert exact_quantiles(df, {"x": F.col("x")}, probs, distinct_limit=10)["x"] == pytest.approx(want)
+    assert exact_quantiles(df, {"x": F.col("x")}, probs)["x"] == pytest.approx(want)
+
+
+ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308, 1.0, 2.0, 0.5, 3.0,
+       4.0 - 2**-51, 4.0, -1.0, 1e-320, math.inf, -math.inf, math.nan, 9007199254740993.0]
+
+
+def test_codes_are_the_bits(spark):
+    rng = random.Random(8)
+    values = ODD + [rng.choice((-1, 1)) * rng.random() * 10.0 ** rng.randint(-320, 308) for _ in range(3000)] + [2.0**k * m for k in range(-1070, 1023, 7) for m in (1 - 2**-53, 1, 1 + 2**-52)]
+    rows = quantiles.with_code(spark.createDataFrame([(v,) for v in values], "x double"), "x").collect()
+    assert [r["code"] for r in rows] == [quantiles.code_of(v) for v in values]
+    ordered = sorted(v for v in values if not math.isnan(v))
+    assert all(quantiles.code_of(a) <= quantiles.code_of(b) for a, b in zip(ordered, ordered[1:]))
+
+
+def test_quantiles_of_odd_values(spark):
+    df = spark.createDataFrame([(v,) for v in ODD if not math.isnan(v)] + [(None,)], "x double")
+    n = len(ODD) - 2
+    got = exact_quantiles(df, {"x": F.col("x")}, [k / n for k in range(n + 1)])["x"]
+    assert got == sorted(v for v in ODD if not math.isnan(v))
+
+
+def test_quantile_rounds_are_bounded(spark, monkeypatch):
+    """64-bit noise with one value in a third of the rows, in many columns: few rounds, no round above the table."""
+    rng = np.random.default_rng(4)
+    noise = np.frombuffer(rng.bytes(8 * 40_000), "f8")
+    x = np.where(rng.random(40_000) < 1 / 3, 1.5, np.where(np.isfinite(noise), noise, 0.0))
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    sizes, counted = [], quantiles._round
+
+    def watched(values, intervals):
+        starts, table = counted(values, intervals)
+        sizes.append(len(table["slot"]))
+        return starts, table
+
+    monkeypatch.setattr(quantiles, "_round", watched)
+    probs = [0.001, 0.25, 0.5, 0.75, 0.999]
+    got = exact_quantiles(df, {f"c{k}": F.col("x") * float(2**k) for k in range(20)}, probs)
+    want = np.quantile(x, probs)
+    for k in range(20):
+        assert got[f"c{k}"] == pytest.approx((want * 2.0**k).tolist(), rel=1e-12)
+    assert len(sizes) <= 6 and max(sizes) <= quantiles.TABLE
 
 
 @pytest.mark.parametrize("buckets", [1, 4, 32])

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from colprep.functions import quantiles
 from colprep.operators import weights as W
 from colprep.operators.charts import box, histogram, line
 from colprep.operators.missing import comissing_pairs, required_missing
@@ -82,7 +83,7 @@ def test_weighted_figures_by_hand(spark):
     s = W.weighted_summary(df, ["x"], "w").first()
     assert (s["valid_observations"], s["total_weight"], s["mean"]) == (3, 4.0, 2.25)
     assert s["effective_sample_size"] == pytest.approx(16 / 6) and s["variance"] == pytest.approx(np.average((np.array([1, 2, 4]) - 2.25) ** 2, weights=[1, 2, 1]))
-    q = {r["p"]: r["value"] for r in W.weighted_quantiles(df, "x", "w", buckets=2).collect()}
+    q = {r["p"]: r["value"] for r in W.weighted_quantiles(df, "x", "w").collect()}
     assert q == {0.25: 1.0, 0.5: 2.0, 0.75: 2.0}
     m = W.moe_numeric(df, ["x"], "w").first()
     assert m["standard_error"] == pytest.approx((s["variance"] / s["effective_sample_size"]) ** 0.5) and m["ci_high"] - m["ci_low"] == pytest.approx(2 * m["margin_of_error"])
@@ -96,14 +97,15 @@ def test_unit_weights_change_nothing(spark, xs):
     assert r["weighted_mean"] == pytest.approx(r["mean"], abs=1e-6)
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 32])
-def test_weighted_quantiles_for_any_bucket_count(spark, buckets):
+@pytest.mark.parametrize("ranges", [2, 8, 4096])
+def test_weighted_quantiles_for_any_number_of_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(quantiles, "MAX_RANGES", ranges)
     rng = np.random.default_rng(1)
     xs, ws = rng.integers(0, 200, 2000).astype(float), rng.integers(1, 9, 2000).astype(float)
     order = np.argsort(xs, kind="stable")
     cum = np.cumsum(ws[order])
     want = {p: xs[order][np.searchsorted(cum, p * ws.sum())] for p in (0.05, 0.25, 0.5, 0.75, 1.0)}
-    got = W.weighted_quantiles(weighted(spark, xs.tolist(), ws.tolist()), "x", "w", list(want), buckets)
+    got = W.weighted_quantiles(weighted(spark, xs.tolist(), ws.tolist()), "x", "w", list(want))
     assert {r["p"]: r["value"] for r in got.collect()} == want
 
 
