@@ -53,6 +53,16 @@ add("clean_ffill", cleaned(gaps, "row_id", "price", MISSING, "forward_fill", ord
     gap_sql("price", f"coalesce(last_value(price IGNORE NULLS) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING), {_MED.format(x='price')})"))
 add("clean_ffill_text", cleaned(gaps, "row_id", "priority", MISSING, "forward_fill", order_by=["row_id"]),
     _G + f"SELECT row_id, priority AS before, coalesce(last_value(priority IGNORE NULLS) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING), {_MODE}) AS after FROM fx_orders_gaps")
+def _hosts(spark, sf):
+    """Pages with their host, which two of three rows lack."""
+    host = F.regexp_extract("url", "://([^/]*)", 1)
+    return table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, host).alias("host"))
+
+
+add("clean_ffill_text_key", cleaned(_hosts, "page_id", "host", MISSING, "forward_fill", order_by=["url", "page_id"]), """
+WITH h AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '://([^/]*)', 1) END AS host FROM pages),
+m AS (SELECT host FROM h WHERE host IS NOT NULL GROUP BY host ORDER BY count(*) DESC, host LIMIT 1)
+SELECT page_id, host AS before, coalesce(last_value(host IGNORE NULLS) OVER (ORDER BY url NULLS FIRST, page_id ROWS UNBOUNDED PRECEDING), (SELECT host FROM m)) AS after FROM h""")
 add("clean_bfill", cleaned(gaps, "row_id", "price", MISSING, "backward_fill", order_by=["row_id"], buckets=16),
     gap_sql("price", f"coalesce(first_value(price IGNORE NULLS) OVER (ORDER BY row_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), {_MED.format(x='price')})"))
 

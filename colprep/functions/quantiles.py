@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colprep.functions.exprs import literal_rows
+from colprep.functions.exprs import c, literal_rows
 
 TABLE = 1 << 16  # ranges of all open intervals of a round together
 MAX_RANGES = 1 << 12  # of one interval
@@ -60,7 +60,7 @@ def with_code(df: DataFrame, value: str, name: str = "code") -> DataFrame:
     fraction = F.col("__a") / (F.col("__p") * (1 + F.col("__up")) / (1 + F.col("__down")))
     bits = (F.col("__e") + F.col("__up") - F.col("__down") - _LEAST_EXPONENT) * F.lit(1 << _MANTISSA) + (fraction * float(1 << _MANTISSA)).cast("long")
     beyond = (F.abs(value) > F.lit(_MAX)).cast("int") + F.isnan(value).cast("int")
-    return steps.select(*keep, ((bits + beyond) * F.when(F.col(value) < 0, -1).otherwise(1)).alias(name))
+    return steps.select(*map(c, keep), ((bits + beyond) * F.when(F.col(value) < 0, -1).otherwise(1)).alias(name))
 
 
 @dataclass

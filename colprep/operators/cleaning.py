@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colprep.functions.exprs import c, count_if, is_numeric, is_text, num
-from colprep.functions.ordered import BUCKET, OrderedFrame
+from colprep.functions.ordered import BUCKET, OrderedFrame, small
 from colprep.functions.quantiles import exact_quantiles
 from colprep.functions.text import strip, title_case, to_number, to_timestamp
 from colprep.operators import iforest
@@ -143,9 +143,8 @@ def _directional(df, column, params, output):
     kind = T.DoubleType() if fraction else dtype
     x = c(column).cast(kind)
     reverse = params["reverse"]
-    carried = o.edge_value(x, "v", last=not reverse, text=not is_numeric(dtype)).select(
-        BUCKET, F.last("v", ignorenulls=True).over(o.before(reverse)).alias("__carry")
-    )
+    edges = o.edge_value(x, "v", last=not reverse, text=not is_numeric(dtype))
+    carried = o.carried(edges, **{"nexts" if reverse else "lasts": {"__carry": "v"}})
     rows = o.df.withColumn("__local", F.last(x, ignorenulls=True).over(o.running(reverse)))
     filled = F.coalesce(x, F.col("__local"), F.col("__carry"), F.lit(fallback).cast(kind))
     return o.attach(rows, carried).withColumn(output, filled).drop(BUCKET, "__local", "__carry")
@@ -170,17 +169,12 @@ def _interpolate(df, column, params, output):
     method = params["method"]
     o = OrderedFrame(df, params["order_by"], params.get("buckets"))
     x = num(df, column)
-    before, after = o.before(), o.before(reverse=True)
     present = F.when(x.isNotNull(), o.key)
 
     if method == "time":
         axis = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), c(params["order_by"][0]).cast("timestamp_ntz")).cast("double")
         point = F.when(x.isNotNull(), F.struct(axis.alias("at"), x.alias("v")))
-        carried = o.summary(last=F.max_by(point, present), first=F.min_by(point, present)).select(
-            BUCKET,
-            F.last("last", ignorenulls=True).over(before).alias("__prev"),
-            F.last("first", ignorenulls=True).over(after).alias("__next"),
-        )
+        carried = o.carried(o.summary(last=F.max_by(point, present), first=F.min_by(point, present)), lasts={"__prev": "last"}, nexts={"__next": "first"})
         rows = o.df.withColumn("__at", axis)
     else:
         # Positions need the number of rows outside the observed stretch of each
@@ -189,14 +183,11 @@ def _interpolate(df, column, params, output):
         outside = o.attach(o.df.select(BUCKET, o.key.alias("__key")), edges.select(BUCKET, "lo", "hi")).groupBy(BUCKET).agg(
             count_if(F.col("__key") < F.col("lo")).alias("lead"), count_if(F.col("__key") > F.col("hi")).alias("trail")
         )
-        offsets = edges.join(F.broadcast(outside), BUCKET).withColumn("__off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        offsets = edges.join(small(outside, o.buckets), BUCKET).join(small(o.carried(edges, sums={"__off": "n"}), o.buckets), BUCKET)
         first = F.when(F.col("lo").isNotNull(), F.struct((F.col("__off") + F.col("lead")).cast("double").alias("at"), F.col("lv").alias("v")))
         last = F.when(F.col("hi").isNotNull(), F.struct((F.col("__off") + F.col("n") - 1 - F.col("trail")).cast("double").alias("at"), F.col("hv").alias("v")))
-        carried = offsets.select(BUCKET, "__off", first.alias("first"), last.alias("last")).select(
-            BUCKET, "__off",
-            F.last("last", ignorenulls=True).over(before).alias("__prev"),
-            F.last("first", ignorenulls=True).over(after).alias("__next"),
-        )
+        placed = offsets.select(BUCKET, "__off", first.alias("first"), last.alias("last"))
+        carried = o.carried(placed, lasts={"__prev": "last"}, nexts={"__next": "first"}).join(small(placed.select(BUCKET, "__off"), o.buckets), BUCKET)
         rows = o.df.withColumn("__rank", F.row_number().over(o.window()))
 
     rows = o.attach(rows, carried)

@@ -23,12 +23,7 @@ def _null_positions(df: DataFrame, columns: Sequence[str], order_by: Sequence[st
     o = OrderedFrame(df.select(*dict.fromkeys([*columns, *order_by])), order_by, buckets)
     nulls = [c(x).isNull() for x in columns]
     summary = o.summary(n=F.count(F.lit(1)), **{f"m{i}": count_if(x) for i, x in enumerate(nulls)})
-    before = o.before()
-    offsets = summary.select(
-        BUCKET,
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"),
-        *[F.coalesce(F.sum(f"m{i}").over(before), F.lit(0)).alias(f"__m{i}") for i in range(len(columns))],
-    )
+    offsets = o.carried(summary, sums={"__n": "n", **{f"__m{i}": f"m{i}" for i in range(len(columns))}})
     local = o.df.select(
         BUCKET,
         F.row_number().over(o.window()).alias("__r"),

@@ -6,11 +6,12 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from colprep.functions import quantiles, statfn
+from colprep.functions import ordered, quantiles, statfn
 from colprep.functions.names import matches, tokens
-from colprep.functions.ordered import BUCKET, assign_buckets, with_position
+from colprep.functions.ordered import BUCKET, OrderedFrame, assign_buckets, with_position
 from colprep.functions.quantiles import exact_quantiles
 from colprep.functions.sampling import hash_sample
 from colprep.functions.text import fixed, strip, title_case, to_number
@@ -123,6 +124,44 @@ def test_hot_leading_key_is_split(spark, second):
     assert got == sorted(rows)
 
 
+def test_long_text_keys_split_evenly(spark):
+    """100,000 addresses that begin alike, a third of them on one host and one long path."""
+    rng = random.Random(9)
+    urls = [f"https://www.example.org/{'archive/of/all/pages/' * 5 if k % 3 == 0 else rng.choice('abcdef')}{k * 7919 % 100_000:06d}{'/é' * (k % 4)}" for k in range(100_000)]
+    df = spark.createDataFrame(pd.DataFrame({"url": urls})).repartition(8)
+    sizes = [r["count"] for r in assign_buckets(df, ["url"], 50).groupBy(BUCKET).count().collect()]
+    assert max(sizes) <= 2000 and sum(sizes) == len(urls) and len(sizes) <= 100
+    got = with_position(df, ["url"], buckets=50).select("position", "url").toPandas().sort_values("position")
+    assert got["position"].tolist() == list(range(len(urls))) and got["url"].tolist() == sorted(urls, key=str.encode)
+
+
+def test_buckets_of_odd_keys(spark):
+    """Nulls in every place, texts that differ in trailing zero bytes, floats with NaN, rows with equal keys."""
+    texts = [None, "", "a", "a\0", "a\0\0", "ab", "zzzzzzz", "zzzzzzzz", "zzzzzzzzz\0", "é" * 40, "é" * 40 + "x"]
+    numbers = [None, math.nan, -math.inf, -1.5, -0.0, 0.0, 2.0**60, math.inf]
+    rows = [(t, x, k) for t in texts for x in numbers for k in (None, 1, 2**62, -(2**62), 1)] * 3
+    df = spark.createDataFrame(rows, "`a.b` string, `x y` double, k long").repartition(5)
+    order = ["a.b", "x y", "k"]
+    key = [F.col(f"`{name}`") for name in order]
+    ranked = assign_buckets(df, order, 60)
+    steps = ranked.select(F.struct(*key).alias("key"), BUCKET).groupBy(BUCKET).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).orderBy(BUCKET)
+    apart = steps.select("n", (F.lag("hi").over(Window.orderBy(BUCKET)) < F.col("lo")).alias("apart")).collect()
+    assert sum(r["n"] for r in apart) == len(rows) and all(r["apart"] for r in apart[1:])
+    assert max(r["n"] for r in apart) <= math.ceil(len(rows) / 60) + 24  # rows with equal keys stay together
+    assert assign_buckets(df.limit(0), order, 4).count() == 0
+
+
+def test_carries_over_groups_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "GROUP", 3)
+    rng = random.Random(4)
+    table = [(b, rng.randint(0, 9), rng.choice([None, None, b])) for b in range(20)]
+    frame = OrderedFrame(spark.range(1), ["id"])
+    out = frame.carried(spark.createDataFrame(table, f"{BUCKET} long, n long, v long"), sums={"off": "n"}, lasts={"prev": "v"}).collect()
+    assert {r[BUCKET]: (r["off"], r["prev"]) for r in out} == {b: (sum(n for k, n, _ in table if k < b), next((v for k, _, v in table[::-1] if k < b and v is not None), None)) for b, _, _ in table}
+    out = frame.carried(spark.createDataFrame(table, f"{BUCKET} long, n long, v long"), nexts={"next": "v"}).collect()
+    assert {r[BUCKET]: r["next"] for r in out} == {b: next((v for k, _, v in table if k > b and v is not None), None) for b, _, _ in table}
+
+
 def test_string_and_time_order(spark):
     rows = [(f"{w}{i}",) for i in range(100) for w in ("alpha", "al", "beta-long-name-", "")]
     df = spark.createDataFrame(rows, "s string")
