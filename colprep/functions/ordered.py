@@ -40,6 +40,7 @@ GROUP = 1024  # buckets whose carries are worked out in one task
 BROADCAST_ROWS = 1 << 20  # a longer index or summary is left to the planner's own choice of join
 ROUND_RANGES = 1 << 20  # ranges of all open nodes of a round, beyond eight for each target number of rows
 MOST_RANGES = 1 << 16  # of one node
+LOOKUP_SLOTS = 1 << 14  # slots that an array in the plan maps to buckets; more are joined
 CHUNK = 7  # bytes of text in a code
 _NULL, _NULL_TEXT = -(1 << 63), -1
 
@@ -109,6 +110,7 @@ class RangeIndex:
     rounds: list[list[_Node]] = field(default_factory=list)
     leaves: list[tuple[int, int]] = field(default_factory=list)  # (slot, bucket)
     buckets: int = 1
+    slots: int = 0
 
     def _code(self, nodes: list[_Node]) -> Column:
         """Code of a row in its node; only the columns that the nodes use are looked at."""
@@ -122,9 +124,15 @@ class RangeIndex:
             out = F.when(F.col("__level") == level, key) if out is None else out.when(F.col("__level") == level, key)
         return out
 
+    def first_step(self, rows: DataFrame) -> DataFrame:
+        """Slots of the first round, whose one node holds all rows."""
+        node = self.rounds[0][0]
+        level, offset = F.lit(node.level), F.lit(node.offset)
+        code = rows.withColumns({"__level": level, "__offset": offset}).withColumn("__code", self._code([node])).drop("__level", "__offset")
+        return code.withColumn("__slot", F.shiftright("__code", node.shift) - F.lit(node.lo >> node.shift))
+
     def step(self, rows: DataFrame, nodes: list[_Node], inner: bool) -> DataFrame:
         """Move rows that stand in a node's slot on to the slot of their range."""
-        # a row's slot of the round before is the node's key; the first round has one node and no join
         table = literal_rows(rows.sparkSession, [(n.path[-1], n.level, n.offset, n.shift, n.lo >> n.shift, n.slot) for n in nodes],
                              "__at long, __level int, __offset int, __shift int, __first long, __base long")
         joined = rows.join(small(table, len(nodes)), F.col("__slot") == F.col("__at"), "inner" if inner else "left")
@@ -135,12 +143,18 @@ class RangeIndex:
     def assign(self, df: DataFrame) -> DataFrame:
         if not self.rounds:
             return df.withColumn(BUCKET, F.lit(0).cast("long"))
-        rows = _coded(df, self.order_by).withColumn("__slot", F.lit(-1).cast("long"))
-        for nodes in self.rounds:
+        rows = self.first_step(_coded(df, self.order_by)).drop("__code")
+        for nodes in self.rounds[1:]:
             rows = self.step(rows, nodes, inner=False).drop("__code")
+        keep = [c(x) for x in df.columns]
+        if self.slots <= LOOKUP_SLOTS:
+            bucket_of = [0] * self.slots
+            for slot, bucket in self.leaves:
+                bucket_of[slot] = bucket
+            lookup = F.split(F.lit(",".join(map(str, bucket_of))), ",").cast("array<bigint>")  # folded into one literal
+            return rows.select(*keep, F.element_at(lookup, (F.col("__slot") + 1).cast("int")).alias(BUCKET))
         table = literal_rows(df.sparkSession, self.leaves, f"__leaf long, {BUCKET} long")
-        found = rows.join(small(table, len(self.leaves)), F.col("__slot") == F.col("__leaf"))
-        return found.select(*[c(x) for x in df.columns], BUCKET)
+        return rows.join(small(table, len(self.leaves)), F.col("__slot") == F.col("__leaf")).select(*keep, BUCKET)
 
 
 def build_index(df: DataFrame, order_by: Sequence[str], buckets: int | None = None) -> RangeIndex:
@@ -159,14 +173,14 @@ def build_index(df: DataFrame, order_by: Sequence[str], buckets: int | None = No
 
     leaves: dict[tuple[int, ...], int] = {}
     open_, slots = [_node(texts, (-1,), 0, rows, lo, hi, nulls=True)], 0
-    current = keys.withColumn("__slot", F.lit(-1).cast("long"))
+    current = keys
     while open_:
         room = max(16, min(1024, ROUND_RANGES // len(open_)))
         for node in open_:
             node.slot = slots
             slots += node.cut(min(MOST_RANGES, max(room, 8 * math.ceil(node.rows / target))))
         index.rounds.append(open_)
-        current = index.step(current, open_, inner=True)
+        current = index.first_step(current) if len(index.rounds) == 1 else index.step(current, open_, inner=True)
         counted = current.groupBy("__slot").agg(F.count(F.lit(1)).alias("n"), F.min("__code").alias("lo"), F.max("__code").alias("hi")).toArrow().sort_by("__slot").to_pydict()
         open_ = _split(open_, counted, leaves, target)
         alike = [n for n in open_ if n.lo == n.hi]  # one code: go on behind it
@@ -180,6 +194,7 @@ def build_index(df: DataFrame, order_by: Sequence[str], buckets: int | None = No
             total, number = 0, number + 1
         total += n
         index.leaves.append((path[-1], number))
+    index.slots = slots
     index.buckets = number + 1
     return index
 
@@ -300,9 +315,9 @@ class OrderedFrame:
     def carried(self, summary: DataFrame, sums: Mapping[str, str] | None = None, lasts: Mapping[str, str] | None = None, nexts: Mapping[str, str] | None = None) -> DataFrame:
         """What the other buckets bring to each: sums and last values of those before it, first values of those behind it.
 
-        Each mapping gives the output's name and the summary column. Buckets are
-        worked out in groups, and the groups' own totals once more, so no task sees
-        more than ``GROUP`` buckets or the groups.
+        Each mapping gives the output's name and the summary column. Beyond ``GROUP``
+        buckets they are worked out in groups, and the groups' own totals once more, so
+        no task sees more than ``GROUP`` buckets or the groups.
         """
         sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
         grouped = summary.withColumn("__group", F.expr(f"{BUCKET} div {GROUP}"))
@@ -321,6 +336,9 @@ class OrderedFrame:
         def held(pick, v: str) -> Column:
             return pick(F.col(v), F.when(F.col(v).isNotNull(), F.col(BUCKET)))
 
+        if self.buckets <= GROUP:
+            found = brought(summary, BUCKET, None, "")
+            return found.select(BUCKET, *[F.coalesce(k, F.lit(0)).alias(k) for k in sums], *lasts, *nexts)
         # totals of a group go by the column's own name
         totals = grouped.groupBy("__group").agg(
             *[F.sum(v).alias(v) for v in dict.fromkeys(sums.values())], *[held(F.max_by, v).alias(v) for v in dict.fromkeys(lasts.values())],

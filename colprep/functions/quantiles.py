@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colprep.functions.exprs import c, literal_rows
+from colprep.functions.exprs import literal_rows
 
 TABLE = 1 << 16  # ranges of all open intervals of a round together
 MAX_RANGES = 1 << 12  # of one interval
@@ -48,19 +48,20 @@ def with_code(df: DataFrame, value: str, name: str = "code") -> DataFrame:
     """Add the code of a double column without nulls, in generated code only.
 
     Exponent and fraction come from a logarithm that is then corrected, so the
-    result is the bit pattern itself. Each step is a projection of its own: the
-    optimizer keeps them apart, and no subexpression is evaluated twice.
+    result is the bit pattern itself. Names of one select build on each other: the
+    optimizer keeps the steps apart, and no subexpression is evaluated twice.
     """
-    keep = df.columns
-    power = F.pow(F.lit(2.0), F.col("__e").cast("double"))
-    steps = df.select("*", F.least(F.abs(value), F.lit(_MAX)).alias("__a"))
-    steps = steps.select("*", F.greatest(F.least(F.floor(F.coalesce(F.log2("__a"), F.lit(float(_LEAST_EXPONENT)))), F.lit(_MOST_EXPONENT)), F.lit(_LEAST_EXPONENT)).alias("__e"))
-    steps = steps.select("*", power.alias("__p"))
-    steps = steps.select("*", (F.col("__a") >= 2 * F.col("__p")).cast("int").alias("__up"), ((F.col("__a") < F.col("__p")) & (F.col("__e") > _LEAST_EXPONENT)).cast("int").alias("__down"))
-    fraction = F.col("__a") / (F.col("__p") * (1 + F.col("__up")) / (1 + F.col("__down")))
-    bits = (F.col("__e") + F.col("__up") - F.col("__down") - _LEAST_EXPONENT) * F.lit(1 << _MANTISSA) + (fraction * float(1 << _MANTISSA)).cast("long")
-    beyond = (F.abs(value) > F.lit(_MAX)).cast("int") + F.isnan(value).cast("int")
-    return steps.select(*map(c, keep), ((bits + beyond) * F.when(F.col(value) < 0, -1).otherwise(1)).alias(name))
+    x = "`" + value.replace("`", "``") + "`"
+    fraction = "__a / (__p * (1 + __up) / (1 + __down))"
+    bits = f"(__e + __up - __down - ({_LEAST_EXPONENT})) * {1 << _MANTISSA}L + cast({fraction} * {1 << _MANTISSA}D AS bigint)"
+    beyond = f"cast(abs({x}) > {_MAX!r}D AS int) + cast(isnan({x}) AS int)"
+    return df.selectExpr(
+        "*", f"least(abs({x}), {_MAX!r}D) AS __a",
+        f"greatest(least(floor(coalesce(log2(__a), {_LEAST_EXPONENT}D)), {_MOST_EXPONENT}), {_LEAST_EXPONENT}) AS __e",
+        "power(2D, cast(__e AS double)) AS __p",
+        "cast(__a >= 2 * __p AS int) AS __up", f"cast(__a < __p AND __e > {_LEAST_EXPONENT} AS int) AS __down",
+        f"({bits} + {beyond}) * CASE WHEN {x} < 0 THEN -1 ELSE 1 END AS {name}",
+    ).drop("__a", "__e", "__p", "__up", "__down")
 
 
 @dataclass
@@ -125,9 +126,14 @@ def descend(values: DataFrame, intervals: list[_Interval]) -> dict:
     return found
 
 
-def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
+def exact_quantiles(
+    df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], ends: Mapping[str, tuple[int, float | None, float | None]] | None = None
+) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several expressions.
 
+    ``ends`` gives the count of non-null values, the smallest and the largest one
+    where they are known already; otherwise one more aggregate finds them.
+
     Returns ``{name: [quantile per prob]}``, ``None`` for columns without values.
     The result is a few numbers per column, small enough to inline as literals.
     """
@@ -135,18 +141,21 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence
     if not names:
         return {}
     base = df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])
-    ends = base.agg(*[f(f"v{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    if ends is None:
+        row = base.agg(*[f(f"v{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+        ends = {name: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(names)}
     intervals = []
-    for i in range(len(names)):
-        if n := ends[f"n{i}"]:
+    for i, name in enumerate(names):
+        n, lo, hi = ends[name]
+        if n:
             ranks = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-            intervals.append(_Interval(i, ends[f"lo{i}"], ends[f"hi{i}"], 0, [(r + 1, (i, r)) for r in ranks]))
+            intervals.append(_Interval(i, lo, hi, 0, [(r + 1, (i, r)) for r in ranks]))
     stacked = base.select(F.explode(F.array(*[F.struct(F.lit(s.column).alias("i"), F.col(f"v{s.column}").alias("x")) for s in intervals])).alias("v")) if intervals else None
     found = descend(stacked.select("v.i", "v.x", F.lit(1).alias("w")).where("x IS NOT NULL"), intervals) if intervals else {}
 
     result = {}
     for i, name in enumerate(names):
-        n, row = ends[f"n{i}"], []
+        n, row = ends[name][0], []
         for p in probs if n else ():
             place = p * (n - 1)
             low, high = math.floor(place), math.ceil(place)

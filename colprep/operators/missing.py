@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations, permutations
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colprep.functions.exprs import c, count_if, percent, ratio, literal_rows
+from colprep.functions.gram import pair_sums
 from colprep.functions.names import matches
 from colprep.functions.ordered import BUCKET, OrderedFrame, with_position
 
@@ -119,26 +120,25 @@ def missing_matrix(df: DataFrame, order_by: Sequence[str], columns: Sequence[str
 def comissing_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.8) -> DataFrame:
     """Column pairs whose missing flags correlate above ``threshold``.
 
-    All pair counts come from one aggregate over the null flags; only columns
-    with nulls are paired.
+    Pair counts are a Gram matrix of the null flags; only columns with nulls are
+    paired.
     """
     columns = list(columns or df.columns)
     first = df.agg(F.count(F.lit(1)).alias("n"), *[count_if(c(x).isNull()).alias(f"m{i}") for i, x in enumerate(columns)]).first()
     n = first["n"]
     missing = {x: first[f"m{i}"] for i, x in enumerate(columns)}
-    pairs = list(combinations([x for x in columns if missing[x]], 2))
-    schema = "column1 string, column2 string, phi double, violations long"
-    if not pairs:
-        return literal_rows(df.sparkSession, [], schema)
-    both = df.agg(*[count_if(c(a).isNull() & c(b).isNull()).alias(f"b{i}") for i, (a, b) in enumerate(pairs)])
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        ma, mb = float(missing[a]), float(missing[b])
-        spread = (ma * (n - ma) * mb * (n - mb)) ** 0.5
-        phi = ratio(F.col(f"b{i}") * F.lit(float(n)) - F.lit(ma * mb), F.lit(spread))
-        entries.append(F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), phi.alias("phi"),
-                                F.lit(int(min(ma, mb))).cast("long").alias("violations")))
-    return both.select(F.inline(F.array(*entries))).where(F.col("phi") > threshold)
+    holes = [x for x in columns if missing[x]]
+    if len(holes) < 2:
+        return literal_rows(df.sparkSession, [], "column1 string, column2 string, phi double, violations long")
+    flags = df.select(*[c(x).isNull().cast("double").alias(f"m{k}") for k, x in enumerate(holes)])
+    label, count = F.array(*[F.lit(x) for x in holes]), F.array(*[F.lit(float(missing[x])) for x in holes])
+    ma, mb, size = F.element_at(count, F.col("i") + 1), F.element_at(count, F.col("j") + 1), F.lit(float(n))
+    phi = ratio(F.col("xy") * size - ma * mb, F.sqrt(ma * (size - ma) * mb * (size - mb)))
+    return (
+        pair_sums(flags, flags.columns, gaps=False)
+        .select(F.element_at(label, F.col("i") + 1).alias("column1"), F.element_at(label, F.col("j") + 1).alias("column2"), phi.alias("phi"), F.least(ma, mb).cast("long").alias("violations"))
+        .where(F.col("phi") > threshold)
+    )
 
 
 # When the first is present, the second is expected too.

@@ -177,7 +177,8 @@ class TableProfile:
 
     @cached_property
     def quartiles(self) -> dict[str, list[float | None]]:
-        return exact_quantiles(self.df, {x: num(self.df, x) for x in self.numeric}, QUARTILES)
+        ends = {x: tuple(self.pass_a[x][k] for k in ("non_null", "min", "max")) for x in self.numeric}
+        return exact_quantiles(self.df, {x: num(self.df, x) for x in self.numeric}, QUARTILES, ends)
 
     @cached_property
     def vf(self) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colprep.functions.exprs import literal_rows, num
+from colprep.functions.gram import pair_sums
 from colprep.operators.profile import TableProfile, _as_profile
 
 
@@ -19,61 +20,25 @@ def _columns(source: DataFrame | TableProfile, columns: Sequence[str] | None) ->
 
 
 def correlation_pairs(source: DataFrame | TableProfile, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column1, column2, r)`` for every unordered pair, pairwise complete.
+    """``(column1, column2, r)`` for every unordered pair, pairwise complete; NULL where a side is constant.
 
-    All pairs come from one aggregate of sums of products of centred values:
-    one sum for a pair without missing values, six for one where the rows in
-    common have to be singled out. The data is read once and each task hands on
-    a single row.
+    Sums of products of centred values come from Gram matrices, so hundreds of
+    columns take as few scans as two.
     """
     p, names = _columns(source, columns)
-    spark, schema = p.spark, "column1 string, column2 string, r double"
-    pairs = list(combinations(names, 2))
-    if not pairs:
-        return literal_rows(spark, [], schema)
     stats = p.pass_a
-    usable = {x: i for i, x in enumerate(names) if stats[x]["mean"] is not None and math.isfinite(stats[x]["mean"])}
-    centred = p.df.select(*[(num(p.df, x) - F.lit(stats[x]["mean"])).alias(f"d{i}") for x, i in usable.items()])
-    aggs: dict[str, None] = {}
-    for a, b in pairs:
-        if a in usable and b in usable:
-            aggs.update(dict.fromkeys(_pair_sums(f"d{usable[a]}", f"d{usable[b]}", _complete(stats, a, b))))
-    found = centred.agg(*[F.expr(e).alias(f"s{i}") for i, e in enumerate(aggs)]).first() if aggs else None
-    value = {e: found[i] for i, e in enumerate(aggs)}
-    rows = []
-    for a, b in pairs:
-        r = None
-        if a in usable and b in usable:
-            x, y = f"d{usable[a]}", f"d{usable[b]}"
-            s = [value[e] for e in _pair_sums(x, y, _complete(stats, a, b))]
-            if _complete(stats, a, b):
-                n = stats[a]["non_null"]
-                r = _ratio(s[0], *[stats[q]["stdp"] ** 2 * n for q in (a, b)])
-            elif s[1]:
-                xy, n, sx, sy, xx, yy = s
-                vx, vy = xx - sx * sx / n, yy - sy * sy / n
-                # what is left of a constant is rounding noise
-                vx, vy = (v if v > 1e-12 * q else 0.0 for v, q in ((vx, xx), (vy, yy)))
-                r = _ratio(xy - sx * sy / n, vx, vy) if n > 1 else None
-        rows.append((a, b, r))
-    return literal_rows(spark, rows, schema)
-
-
-def _complete(stats: dict, a: str, b: str) -> bool:
-    return not stats[a]["missing"] and not stats[b]["missing"]
-
-
-def _pair_sums(x: str, y: str, complete: bool) -> list[str]:
-    if complete:
-        return [f"sum({x} * {y})"]
-    return [
-        f"sum({x} * {y})", f"count({x} * {y})", f"sum(if({y} IS NULL, NULL, {x}))", f"sum(if({x} IS NULL, NULL, {y}))",
-        f"sum(if({y} IS NULL, NULL, {x} * {x}))", f"sum(if({x} IS NULL, NULL, {y} * {y}))",
-    ]
-
-
-def _ratio(cross: float, xx: float, yy: float) -> float | None:
-    return max(-1.0, min(1.0, cross / math.sqrt(xx * yy))) if xx > 0 and yy > 0 else None
+    usable = [x for x in names if stats[x]["mean"] is not None and math.isfinite(stats[x]["mean"])]
+    pairs = literal_rows(p.spark, [(a, b) for a, b in combinations(names, 2)], "column1 string, column2 string")
+    if len(usable) < 2:
+        return pairs.withColumn("r", F.lit(None).cast("double"))
+    centred = p.df.select(*[(num(p.df, x) - F.lit(stats[x]["mean"])).alias(f"d{k}") for k, x in enumerate(usable)])
+    sums = pair_sums(centred, centred.columns)
+    vx, vy = (F.expr(f"if({v} > 1e-12 * {s}, {v}, 0D)") for v, s in (("sxx - sx * sx / n", "sxx"), ("syy - sy * sy / n", "syy")))  # what is left of a constant is rounding noise
+    r = F.when(F.col("n") > 1, F.try_divide(F.expr("xy - sx * sy / n"), F.sqrt(vx * vy)))
+    label = F.array(*[F.lit(x) for x in usable])
+    found = sums.where("n > 0").select(F.element_at(label, F.col("i") + 1).alias("column1"), F.element_at(label, F.col("j") + 1).alias("column2"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    # pairs without a row in common, and columns without a finite mean, have no sums
+    return pairs.join(found, ["column1", "column2"], "left")
 
 
 def correlation_matrix(source: DataFrame | TableProfile, columns: Sequence[str] | None = None) -> DataFrame:
@@ -81,8 +46,8 @@ def correlation_matrix(source: DataFrame | TableProfile, columns: Sequence[str]
     p, names = _columns(source, columns)
     pairs = correlation_pairs(p, names)
     diagonal = literal_rows(p.spark, [(x, x, 1.0 if p.pass_a[x]["std"] else None) for x in names], "column1 string, column2 string, r double")
-    swapped = pairs.select(F.col("column2").alias("column1"), F.col("column1").alias("column2"), "r")
-    return pairs.unionByName(swapped).unionByName(diagonal)
+    both_ways = pairs.select(F.inline(F.array(F.struct("column1", "column2", "r"), F.struct(F.col("column2").alias("column1"), F.col("column1").alias("column2"), "r"))))
+    return both_ways.unionByName(diagonal)
 
 
 def high_pairs(source: DataFrame | TableProfile, columns: Sequence[str] | None = None, threshold: float = 0.7) -> DataFrame:

@@ -124,11 +124,13 @@ def test_hot_leading_key_is_split(spark, second):
     assert got == sorted(rows)
 
 
-def test_long_text_keys_split_evenly(spark):
+@pytest.mark.parametrize("slots", [0, 1 << 20])
+def test_long_text_keys_split_evenly(spark, monkeypatch, slots):
     """100,000 addresses that begin alike, a third of them on one host and one long path."""
     rng = random.Random(9)
     urls = [f"https://www.example.org/{'archive/of/all/pages/' * 5 if k % 3 == 0 else rng.choice('abcdef')}{k * 7919 % 100_000:06d}{'/é' * (k % 4)}" for k in range(100_000)]
     df = spark.createDataFrame(pd.DataFrame({"url": urls})).repartition(8)
+    monkeypatch.setattr(ordered, "LOOKUP_SLOTS", slots)
     sizes = [r["count"] for r in assign_buckets(df, ["url"], 50).groupBy(BUCKET).count().collect()]
     assert max(sizes) <= 2000 and sum(sizes) == len(urls) and len(sizes) <= 100
     got = with_position(df, ["url"], buckets=50).select("position", "url").toPandas().sort_values("position")
@@ -151,11 +153,13 @@ def test_buckets_of_odd_keys(spark):
     assert assign_buckets(df.limit(0), order, 4).count() == 0
 
 
-def test_carries_over_groups_of_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "GROUP", 3)
+@pytest.mark.parametrize("group", [3, 1024])
+def test_carries_over_groups_of_buckets(spark, monkeypatch, group):
+    monkeypatch.setattr(ordered, "GROUP", group)
     rng = random.Random(4)
     table = [(b, rng.randint(0, 9), rng.choice([None, None, b])) for b in range(20)]
-    frame = OrderedFrame(spark.range(1), ["id"])
+    frame = OrderedFrame(spark.range(20), ["id"], 20)
+    assert frame.buckets == 20
     out = frame.carried(spark.createDataFrame(table, f"{BUCKET} long, n long, v long"), sums={"off": "n"}, lasts={"prev": "v"}).collect()
     assert {r[BUCKET]: (r["off"], r["prev"]) for r in out} == {b: (sum(n for k, n, _ in table if k < b), next((v for k, _, v in table[::-1] if k < b and v is not None), None)) for b, _, _ in table}
     out = frame.carried(spark.createDataFrame(table, f"{BUCKET} long, n long, v long"), nexts={"next": "v"}).collect()
