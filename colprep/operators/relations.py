@@ -36,7 +36,7 @@ def correlation_pairs(source: DataFrame | TableProfile, columns: Sequence[str] |
     vx, vy = (F.expr(f"if({v} > 1e-12 * {s}, {v}, 0D)") for v, s in (("sxx - sx * sx / n", "sxx"), ("syy - sy * sy / n", "syy")))  # what is left of a constant is rounding noise
     r = F.when(F.col("n") > 1, F.try_divide(F.expr("xy - sx * sy / n"), F.sqrt(vx * vy)))
     label = F.array(*[F.lit(x) for x in usable])
-    found = sums.where("n > 0").select(F.element_at(label, F.col("i") + 1).alias("column1"), F.element_at(label, F.col("j") + 1).alias("column2"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    found = sums.where("n > 0").select(F.element_at(label, F.col("i") + 1).alias("column1"), F.element_at(label, F.col("j") + 1).alias("column2"), F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
     # pairs without a row in common, and columns without a finite mean, have no sums
     return pairs.join(found, ["column1", "column2"], "left")
 

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from colprep.functions import gram
 from colprep.operators import missing as M
 from colprep.operators import profile as P
 from colprep.operators import quality as Q
@@ -139,3 +141,26 @@ def test_recommendations_follow_rules(frame):
     df = frame([(i, None if i % 3 == 0 else f"v{i % 4}") for i in range(60)], "id long, s string")
     got = Q.recommend(df, ["id"], 2026).collect()
     assert [(r["column"], r["method"], r["priority"]) for r in got] == [("s", "missing_category", "high")]
+
+
+@pytest.mark.parametrize("block, count", [(30, 70), (512, 300)])
+def test_pairs_of_many_columns_with_gaps(spark, monkeypatch, block, count):
+    """One operator a scan, the figures of pandas."""
+    monkeypatch.setattr(gram, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, count)) + rng.normal(size=(400, 1)) * rng.random(count)
+    x[:, 7] = 4.0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[200:, 11], x[:200, 12] = np.nan, np.nan  # no row in common
+    pdf = pd.DataFrame(x, columns=[f"c {k}" for k in range(count)])
+    df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) for c in pdf.columns]).repartition(3)
+    got = {(r["column1"], r["column2"]): r["r"] for r in correlation_pairs(df).collect()}
+    want = pdf.corr(min_periods=2).to_numpy()
+    assert len(got) == count * (count - 1) // 2
+    for i in range(count):
+        for j in range(i + 1, count):
+            r = got[f"c {i}", f"c {j}"]
+            assert r == pytest.approx(want[i, j], abs=1e-9) if r is not None else (7 in (i, j) or (i, j) == (11, 12)), (i, j)
+    phi = np.corrcoef(np.isnan(x).T)
+    found = {(r["column1"], r["column2"]): r["phi"] for r in M.comissing_pairs(df, threshold=0.1).collect()}
+    assert found == pytest.approx({(f"c {i}", f"c {j}"): phi[i, j] for i in range(count) for j in range(i + 1, count) if phi[i, j] > 0.1})
