@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colprep.operators import impact as I
 from colprep.operators.cleaning import METHODS, clean, drop_incomplete, fit_method
-from colprep.operators.iforest import fit_forest, is_anomaly
+from colprep.operators import iforest
 from colprep.operators.knn import knn_impute
 from colprep.plans.recipe import Recipe, operation_log
 
@@ -104,14 +104,33 @@ def test_treatments_match_pandas(spark):
 def test_isolation_forest_flags_extremes_first(spark):
     rng = np.random.default_rng(0)
     xs = np.concatenate([rng.normal(0, 1, 990), [50, -60, 70, 80, -90, 100, 110, 120, -130, 140]])
-    fit = fit_forest(xs, 0.05)
-    assert fit == fit_forest(xs, 0.05)
-    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
-    flagged = [r[0] for r in df.where(is_anomaly(F.col("x"), fit["ranges"])).collect()]
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate(xs)] + [(5000, None)], "id long, x double")
+    fit = iforest.fit_column(df, "x", ["id"], 0.05)
+    assert fit == iforest.fit_column(df.repartition(7), "x", ["id"], 0.05) and fit["rows"] == len(xs)
+    flagged = [r[0] for r in df.where(iforest.is_anomaly(F.col("x"), fit["ranges"])).select("x").collect()]
     assert 0.02 * len(xs) <= len(flagged) <= 0.06 * len(xs)
     assert all(x in flagged for x in xs[-10:])
 
 
+def test_forest_samples_come_from_all_rows(spark):
+    """Smallest hashes of every tree, equal to a plain sort, for tables below and far above a tree's size."""
+    for rows in (40, 30_000):
+        values = spark.range(rows).select(F.xxhash64("id").alias("h"), F.col("id").cast("double").alias("x"))
+        got = iforest.tree_samples(values, rows, trees=5)
+        ranked = values.crossJoin(spark.range(5).select(F.col("id").cast("int").alias("t"))).select("t", "x", F.shiftrightunsigned(F.xxhash64("h", "t"), 1).alias("rank")).toPandas()
+        for t in range(5):
+            assert got[t] == ranked[ranked["t"] == t].sort_values("rank")["x"].head(256).tolist()
+    hot = spark.createDataFrame([(1, 7.0)] * 900 + [(k, float(k)) for k in range(100)], "h long, x double")
+    assert [len(v) for v in iforest.tree_samples(hot, 1000, trees=20)] == [256] * 20
+
+
+def test_quantile_of_counts():
+    rng = np.random.default_rng(2)
+    values, counts = rng.permutation(50) / 7, rng.integers(1, 9, 50)
+    for p in (0.0, 0.1, 0.5, 0.95, 1.0):
+        assert iforest.quantile_of_counts(values, counts, p) == pytest.approx(np.quantile(np.repeat(values, counts), p))
+
+
 def brute_knn(pdf, column, features, k):
     total, out = len(features) + 1, {}
     donors = pdf[pdf[column].notna()].sort_values("id")
