@@ -97,7 +97,7 @@ WITH RECURSIVE walk(part, prefix, applied, step, bit, kept, removed, redundant,
     aggregate(filter(p.cells, c -> c.mask = f.bit), 0L, (a, c) -> a + c.n),
     aggregate(filter(p.cells, c -> c.mask & w.applied = 0 AND c.mask & f.bit <> 0), 0L, (a, c) -> a + c.good),
     aggregate(filter(p.cells, c -> c.mask & w.applied = 0 AND c.mask & f.bit <> 0), 0L, (a, c) -> a + c.toxic)
-  FROM walk w JOIN {letters} f ON w.applied & f.bit = 0 JOIN {parts} p ON p.part = w.part
+  FROM walk w JOIN {unused} f ON f.applied = w.applied JOIN {parts} p ON p.part = w.part
 )
 SELECT * FROM walk WHERE step > 0
 """
@@ -110,12 +110,12 @@ def prefixes(parts: DataFrame, letters: str = LETTERS) -> DataFrame:
     rows that is a session setting; the limit is lifted for this walk, whose rows are known: parts x prefixes.
     """
     spark = parts.sparkSession
-    table = spark.createDataFrame([(x, 1 << k) for k, x in enumerate(letters)], "letter string, bit int")
+    unused = spark.createDataFrame([(applied, x, 1 << k) for applied in range(1 << len(letters)) for k, x in enumerate(letters) if not applied & 1 << k], "applied int, letter string, bit int")
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        return written(spark.sql(WALK, parts=parts, letters=table), "prefixes")
+        return written(spark.sql(WALK, parts=parts, unused=unused), "prefixes")
     finally:
         spark.conf.set(limit, before)
 

@@ -3,12 +3,13 @@
 A page is cut into leaf blocks: runs of text between block-level tags, inline markup removed. Every block becomes a
 vector of its tag path (hashed tags and words of class, id and role, nearer elements count more), its hashed words
 and a few lengths and shares. A bidirectional LSTM in numpy reads the blocks of a page in order, so each block is
-labelled in the light of the whole page; the blocks labelled as main text, in page order, are the result.
+labelled in the light of the whole page; the blocks labelled as main text, in page order and with an empty line
+between them, are the result.
 
 The labeller is fitted here, on about ``SAMPLE`` pages drawn by a hash from the whole table. Their labels come from
 the page's own structure (inside or outside article-like and menu-like elements). Copies of the pages are altered
-while fitting: containers are renamed, or lose their names, and blocks of comments, notices, forms and sidebars are
-woven in, so that the network learns from words, lengths and neighbours as well as from paths.
+while fitting: containers are renamed, or lose their names, and runs of comments, notices, forms, sidebars, footers and
+adverts, as often in the words of the main text as not, are woven in before, inside and behind it.
 
 Cases: a null or empty html gives an empty text; unclosed and misnested tags, comments, scripts, styles and character
 references without end are handled as browsers do, nearly enough for text; repeated rows give repeated results; pages
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from colprep.llm.common import mixed, row_number_of, span_hashes, texts_as_bytes, words
 
 SAMPLE = 300
-PATH_BINS, WORD_BINS, PLAIN = 128, 64, 8
+PATH_BINS, WORD_BINS, PLAIN = 256, 64, 8
 INPUT = PATH_BINS + WORD_BINS + PLAIN
 HIDDEN = 16
-MAX_STEPS = 64  # blocks of a page that are read while fitting; prediction reads all
+MAX_STEPS = 64  # consecutive blocks, from a drawn place on, that a copy takes from a page while fitting; prediction reads all
 
 # Tags that end a block, tags whose content is no text, tags without content.
 BLOCK_TAGS = frozenset(
@@ -157,7 +158,8 @@ def _path_vector(path: tuple) -> np.ndarray:
         for depth, element in enumerate(reversed(path)):
             for k, name in enumerate(element):
                 code = row_number_of(f"{'tag' if k == 0 else 'name'}:{name}", 3)
-                found[code % PATH_BINS] += (1 if code >> 20 & 1 else -1) / (1 + 0.5 * depth)
+                for place in (code, code >> 32):  # two places, so that no two names are the same
+                    found[place % PATH_BINS] += (1 if place >> 20 & 1 else -1) / (1 + 0.5 * depth)
         if len(_PATHS) > 50_000:
             _PATHS.clear()
         _PATHS[path] = found
@@ -273,13 +275,14 @@ class Labeller:
         grad["xb"], grad["cb"] = flat.T @ dz.reshape(-1, 4 * HIDDEN), dz.sum((0, 1))
         return float(loss), grad
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 5) -> None:
-        """Adam over shuffled batches."""
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 11, batch: int = 32, rate: float = 0.01, seed: int = 5) -> None:
+        """Adam over shuffled batches, with a rate that falls to a tenth."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step = 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            falling = rate * (1 - 0.9 * epoch / epochs)
             order = rng.permutation(len(pages))
             for k in range(0, len(order), batch):
                 chosen = order[k : k + batch]
@@ -288,7 +291,7 @@ class Labeller:
                 for name, g in grad.items():
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.999 * second[name] + 0.001 * g * g
-                    self.w[name] = (self.w[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.w[name] = (self.w[name] - falling * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
     def chances(self, pages: list[np.ndarray], group: int = 64) -> list[np.ndarray]:
         """Chance of every block; pages of like length are read together."""
@@ -307,41 +310,75 @@ class Labeller:
         return out
 
 
+# Make-ups that pages are given while fitting: containers of the main text, and of what stands beside it.
+MAIN_ELEMENTS = (
+    ("article",), ("main",), ("div", "content"), ("div", "post", "body"), ("section", "story"), ("div", "entry", "text"), ("div",), ("td",), ("div", "article"), ("div", "main"),
+    ("section",), ("div", "page"),
+)
+SIDE_ELEMENTS = {
+    "sidebar": (("div", "sidebar"), ("aside",), ("aside", "sidebar"), ("div", "side"), ("div", "widget"), ("section", "sidebar"), ("ul", "sidebar")),
+    "comments": (("div", "comments"), ("section", "comments"), ("ol", "comment", "list"), ("div", "comment"), ("div", "replies"), ("section", "discussion"), ("li", "comment"), ("article", "comment")),
+    "form": (("form",), ("form",), ("form",), ("form",), ("form", "newsletter"), ("form", "search"), ("div", "newsletter", "form"), ("div", "subscribe"), ("form", "contact")),
+    "footer": (("footer",), ("footer",), ("div", "footer"), ("footer", "site"), ("div", "copyright")),
+    "notice": (("div", "cookie", "notice"), ("div", "notice"), ("div", "alert"), ("div", "consent"), ("div", "cookie", "banner")),
+    "advert": (("div", "banner", "ad"), ("div", "ad"), ("div", "advert"), ("aside", "promo"), ("div", "sponsored"), ("div", "ads")),
+    "menu": (("header",), ("div", "header"), ("nav",), ("div", "menu"), ("ul", "nav"), ("div", "related"), ("section", "related"), ("div", "share"), ("div", "breadcrumb")),
+}
+INNER_ELEMENTS = ((("p",),), (("p",),), (("li",),), (("div",),), (("ul",), ("li",)), (("div", "text"), ("p",)), (("div",), ("p",)), ())
+
+
 def altered(rows: list[tuple[tuple, str, float]], rng: np.random.Generator) -> tuple[list[tuple[tuple, str, float]], list[float]]:
-    """A page in another make-up, with labels: containers renamed or nameless, side blocks woven in."""
+    """A page in another make-up, with labels.
+
+    Containers are renamed or lose their names. Side blocks, as often in the words of the main text as in their own,
+    are woven in before, inside and behind it, so that neither words nor length nor place alone tell them apart.
+    """
     label = [weak_label(path) for path, _, _ in rows]
     known = [float("nan") if v is None else float(v) for v in label]
-    style = rng.integers(0, 4)
-    if style == 0:
-        return rows, known
-    mains = [("main",), ("div", "content"), ("div", "post", "body"), ("section", "story"), ("div", "entry", "text"), ("div",)]
-    sides = [("div", "sidebar"), ("aside",), ("div", "cookie", "notice"), ("div", "comments"), ("ol", "comment", "list"), ("form",), ("div", "newsletter", "form"), ("div", "banner", "ad"), ("header",), ("div", "related"), ("div", "alert")]
-    new_main = mains[rng.integers(0, len(mains))]
+    style = rng.integers(0, 6)
+    main = MAIN_ELEMENTS[rng.integers(0, len(MAIN_ELEMENTS))]
     out, marks = [], []
     side_texts = [text for (_, text, _), v in zip(rows, label, strict=True) if v == 0] or ["menu"]
     main_texts = [text for (_, text, _), v in zip(rows, label, strict=True) if v == 1] or ["text"]
+    body = (("html",), ("body",)) if rng.random() < 0.7 else (("html",), ("body",), ("div",))
     for (path, text, share), mark in zip(rows, known, strict=True):
-        if mark == 1:
-            path = tuple(new_main if "article" in e else e for e in path)
+        if mark == 1 and style:
+            at = [k for k, e in enumerate(path) if MAIN_WORDS.intersection(e) and e[0] != "body"]
+            path = (*(path[: at[0]] if rng.random() < 0.5 else body), main, *path[at[-1] + 1 :]) if at else path
         elif style == 3 and mark == 0:
             path = tuple((e[0],) if e[0] == "div" else e for e in path)
         out.append((path, text, share))
         marks.append(mark)
-    for _ in range(int(rng.integers(1, 5))):
-        side = sides[rng.integers(0, len(sides))]
-        pool = main_texts if "comment" in side or "comments" in side or rng.random() < 0.3 else side_texts
-        words_ = pool[rng.integers(0, len(pool))].split()
-        text = " ".join(words_[: int(rng.integers(1, 40))]) or "x"
-        inner = [("p",), ("li",), ("div",)][rng.integers(0, 3)]
-        place = int(rng.integers(0, len(out) + 1))
-        base = out[min(place, len(out) - 1)][0][:2] if out and rng.random() < 0.5 else (("html",), ("body",))
-        for k in range(int(rng.integers(1, 4))):
-            out.insert(place + k, ((*base, side, inner), text, float(rng.random() < 0.3)))
-            marks.insert(place + k, 0.0)
+    kinds = list(SIDE_ELEMENTS)
+    for _ in range(int(rng.integers(4, 10))):
+        kind = SIDE_ELEMENTS[kinds[rng.integers(0, len(kinds))]]
+        side = kind[rng.integers(0, len(kind))]
+        inner = INNER_ELEMENTS[rng.integers(0, len(INNER_ELEMENTS))]
+        pool = main_texts if rng.random() < 0.6 else side_texts
+        main_places = [k for k, v in enumerate(marks) if v == 1]
+        where = rng.random()
+        if where < 0.45 or not main_places:
+            place = int(rng.integers(main_places[-1] + 1 if main_places else 0, len(out) + 1))
+        elif where < 0.75:
+            place = int(rng.integers(0, main_places[0] + 1))
+        else:
+            place = int(rng.integers(0, len(out) + 1))
+        base = body
+        if main_places and rng.random() < 0.3:  # inside the main text's own container
+            path = out[main_places[0]][0]
+            base = path[: max(2, len(path) - 1)]
+        woven = []
+        for _ in range(int(rng.integers(1, 6))):
+            text = pool[rng.integers(0, len(pool))]
+            if rng.random() < 0.3:
+                text = " ".join(text.split()[: int(rng.integers(1, 40))]) or "x"
+            woven.append(((*base, side, *inner), text, float(rng.random() < 0.2)))
+        out[place:place] = woven
+        marks[place:place] = [0.0] * len(woven)
     return out, marks
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, copies: int = 2, id_col: str = "page_id", html_col: str = "html") -> Labeller:
+def fit(pages: DataFrame, sample: int = SAMPLE, copies: int = 5, id_col: str = "page_id", html_col: str = "html") -> Labeller:
     """Fit on about ``sample`` pages drawn by hash from all."""
     rows = pages.select(F.col(id_col).alias("k"), F.col(html_col).cast("string").alias("html")).where("html IS NOT NULL")
     total = rows.count()
@@ -350,10 +387,11 @@ def fit(pages: DataFrame, sample: int = SAMPLE, copies: int = 2, id_col: str = "
     def run(batches):
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                found = blocks(page)[:MAX_STEPS]
+                found = blocks(page)
                 rng = np.random.default_rng(row_number_of(page[:2000], 1) >> 1)
                 for _ in range(copies):
-                    made, marks = altered(found, rng)
+                    first = int(rng.integers(0, max(1, len(found) - MAX_STEPS + 1)))
+                    made, marks = altered(found[first : first + MAX_STEPS], rng)
                     yield pa.RecordBatch.from_arrays([pa.array([vectors(made).tobytes()], pa.binary()), pa.array([np.array(marks, np.float32).tobytes()], pa.binary())], names=["x", "y"])
 
     found = rows.where(draw).select("html").mapInArrow(run, "x binary, y binary").toArrow()
@@ -377,7 +415,7 @@ def main_text(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_co
                 flat = vectors([row for rows in found for row in rows])
                 cuts = np.cumsum([0, *map(len, found)])
                 chance = model.chances([flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
-                texts = ["\n".join(text for (_, text, _), c in zip(rows, own, strict=True) if c > 0.5) for rows, own in zip(found, chance, strict=True)]
+                texts = ["\n\n".join(text for (_, text, _), c in zip(rows, own, strict=True) if c > 0.5) for rows, own in zip(found, chance, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
