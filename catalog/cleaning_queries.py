@@ -90,6 +90,7 @@ add("clean_interp_nearest", cleaned(gaps, "row_id", "price", MISSING, "interpola
 add("clean_interp_zero", cleaned(gaps, "row_id", "price", MISSING, "interpolation", method="zero", order_by=["row_id"]),
     _interp("CASE WHEN nv IS NOT NULL THEN pv END, med"))
 add("clean_interp_slinear", cleaned(gaps, "row_id", "price", MISSING, "interpolation", method="slinear", order_by=["row_id"]), _interp(f"{_LINE}, med"))
+add("clean_interp_cubic", cleaned(gaps, "row_id", "price", MISSING, "interpolation", method="cubic", order_by=["row_id"]))
 add("clean_interp_time", cleaned(gaps, "row_id", "price", MISSING, "interpolation", method="time", order_by=["o_orderdate", "row_id"]),
     _interp(f"{_LINE}, pv, med", at="time", order="o_orderdate, row_id"))
 add("clean_category", cleaned(gaps, "row_id", "priority", MISSING, "missing_category", category_name="Missing"),

@@ -21,6 +21,7 @@ from colprep.functions.quantiles import exact_quantiles
 from colprep.functions.text import strip, title_case, to_number, to_timestamp
 from colprep.operators import iforest
 from colprep.operators.knn import choose_features, knn_impute
+from colprep.operators.spline import LEAST_VALUES, second_derivatives
 
 NUMERIC, TEXT, ANY = "numeric", "text", "any"
 
@@ -150,15 +151,17 @@ def _directional(df, column, params, output):
     return o.attach(rows, carried).withColumn(output, filled).drop(BUCKET, "__local", "__carry")
 
 
-# Interpolation names. Global solves (quadratic, cubic) are not offered.
+# Interpolation names. Quadratic splines are not offered.
 LINEAR = ("linear", "index", "values")
-INTERPOLATIONS = (*LINEAR, "slinear", "nearest", "zero", "time")
+INTERPOLATIONS = (*LINEAR, "slinear", "nearest", "zero", "time", "cubic")
 
 
 def _fit_interpolation(df, column, method: str = "linear", order_by=None, buckets=None):
     if method not in INTERPOLATIONS:
         raise ValueError(f"unsupported interpolation: {method}")
     order_by = _order(order_by)
+    if method == "cubic" and df.agg(F.count(c(column))).first()[0] < LEAST_VALUES:
+        raise ValueError(f"cubic interpolation needs {LEAST_VALUES} values")
     edge = _edge_fallback(df, column, order_by)
     last_holds = method in (*LINEAR, "time")
     needs = edge["lead"] or (edge["trail"] and not last_holds)
@@ -194,6 +197,13 @@ def _interpolate(df, column, params, output):
     if method != "time":
         rows = rows.withColumn("__at", (F.col("__off") + F.col("__rank") - 1).cast("double"))
     point = F.when(x.isNotNull(), F.struct(F.col("__at").alias("at"), x.alias("v")))
+    if method == "cubic":
+        bends = second_derivatives(rows.where(x.isNotNull()).select(BUCKET, F.col("__at").alias("at"), x.alias("v")))
+        rows = rows.drop("__prev", "__next").join(bends.select(BUCKET, F.col("at").alias("__at"), F.col("m").alias("__m")), [BUCKET, "__at"], "left")
+        point = F.when(x.isNotNull(), F.struct(F.col("__at").alias("at"), x.alias("v"), F.col("__m").alias("m")))
+        seen = F.when(x.isNotNull(), F.col("__at"))
+        ends = rows.groupBy(BUCKET).agg(F.max_by(point, seen).alias("last"), F.min_by(point, seen).alias("first"))
+        rows = o.attach(rows, o.carried(ends, lasts={"__prev": "last"}, nexts={"__next": "first"}))
     rows = rows.withColumn("__p", F.coalesce(F.last(point, ignorenulls=True).over(o.running()), F.col("__prev"))).withColumn(
         "__n", F.coalesce(F.last(point, ignorenulls=True).over(o.running(reverse=True)), F.col("__next"))
     )
@@ -202,6 +212,10 @@ def _interpolate(df, column, params, output):
     step = F.try_divide(at - p["at"], n["at"] - p["at"])
     if method == "nearest":
         gap = F.when(inside, F.when(at - p["at"] <= n["at"] - at, p["v"]).otherwise(n["v"]))
+    elif method == "cubic":
+        h, a, b = F.when(n["at"] > p["at"], n["at"] - p["at"]), n["at"] - at, at - p["at"]
+        bent = (p["m"] * a * a * a + n["m"] * b * b * b) / (6 * h) + (p["v"] / h - p["m"] * h / 6) * a + (n["v"] / h - n["m"] * h / 6) * b
+        gap = F.when(inside, bent)
     elif method == "zero":
         gap = F.when(inside, p["v"])
     else:

@@ -47,6 +47,38 @@ def test_fills_match_pandas_for_any_bucket_count(spark, buckets):
     assert apply(df, "missing_values", "interpolation", **args) == pytest.approx(s.interpolate().fillna(s.median()).tolist())
 
 
+def dense_spline(at, v, t):
+    """Not-a-knot cubic spline from one dense system of all second derivatives."""
+    n, h = len(at), np.diff(at)
+    a, d = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        d[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
+    a[0, :3] = -1 / h[0], 1 / h[0] + 1 / h[1], -1 / h[1]
+    a[-1, -3:] = -1 / h[-2], 1 / h[-2] + 1 / h[-1], -1 / h[-1]
+    m = np.linalg.solve(a, d)
+    k = np.clip(np.searchsorted(at, t, side="right") - 1, 0, n - 2)
+    left, right = t - at[k], at[k + 1] - t
+    return (m[k] * right**3 + m[k + 1] * left**3) / (6 * h[k]) + (v[k] / h[k] - m[k] * h[k] / 6) * right + (v[k + 1] / h[k] - m[k + 1] * h[k] / 6) * left
+
+
+@pytest.mark.parametrize("rows, buckets", [(6, 3), (30, 8), (600, 1), (600, 25), (600, 150)])
+def test_cubic_interpolation_equals_a_dense_solve(spark, rows, buckets):
+    rng = random.Random(rows)
+    xs = [rng.uniform(0, 9) if rows == 6 or rng.random() < 0.5 and not 100 < i < 180 else None for i in range(rows)]
+    if rows == 6:
+        xs[2] = xs[5] = None  # the fewest values, and an open end
+    frame = list(enumerate(xs))
+    rng.shuffle(frame)
+    df = spark.createDataFrame(frame, "id long, x double").repartition(4)
+    got = apply(df, "missing_values", "interpolation", method="cubic", order_by=["id"], buckets=buckets)
+    at = np.array([i for i, x in enumerate(xs) if x is not None], dtype=float)
+    v = np.array([x for x in xs if x is not None])
+    want = dense_spline(at, v, np.arange(rows, dtype=float))
+    middle = float(np.median(v))
+    assert got == pytest.approx([middle if i < at[0] or i > at[-1] else want[i] for i in range(rows)], abs=1e-8)
+
+
 def test_text_fill_falls_back_to_mode_or_unknown(frame):
     df = frame([(1, None), (2, "b"), (3, None), (4, "a"), (5, "b")], "id long, x string")
     assert apply(df, "missing_values", "forward_fill", order_by=["id"]) == ["b", "b", "b", "a", "b"]
