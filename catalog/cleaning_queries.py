@@ -49,6 +49,14 @@ add("clean_median", cleaned(gaps, "row_id", "price", MISSING, "median_imputation
 _MODE = "(SELECT priority FROM fx_orders_gaps WHERE priority IS NOT NULL GROUP BY priority ORDER BY count(*) DESC, priority LIMIT 1)"
 add("clean_mode", cleaned(gaps, "row_id", "priority", MISSING, "mode_imputation"),
     _G + f"SELECT row_id, priority AS before, coalesce(priority, {_MODE}) AS after FROM fx_orders_gaps")
+_HELD = "FROM fx_orders_gaps WHERE {x} IS NOT NULL AND w IS NOT NULL"
+add("clean_mean_weighted", cleaned(gaps, "row_id", "price", MISSING, "mean_imputation", 3, weights="w"),
+    gap_sql("price", f"coalesce(price, (SELECT sum(price * w) / sum(w) {_HELD.format(x='price')}))", 3))
+add("clean_median_weighted", cleaned(gaps, "row_id", "price", MISSING, "median_imputation", weights="w"),
+    _G + f""", v AS (SELECT price AS x, sum(w) AS w {_HELD.format(x='price')} GROUP BY price), k AS (SELECT x, sum(w) OVER (ORDER BY x) AS cum, sum(w) OVER () AS total FROM v)
+SELECT row_id, {r('price', 4)} AS before, {r('coalesce(price, (SELECT min(x) FROM k WHERE cum >= 0.5 * total * (1 - 1e-12)))', 4)} AS after FROM fx_orders_gaps""")
+add("clean_mode_weighted", cleaned(gaps, "row_id", "priority", MISSING, "mode_imputation", weights="w"),
+    _G + f"SELECT row_id, priority AS before, coalesce(priority, (SELECT priority {_HELD.format(x='priority')} GROUP BY priority ORDER BY sum(w) DESC, priority LIMIT 1)) AS after FROM fx_orders_gaps")
 add("clean_ffill", cleaned(gaps, "row_id", "price", MISSING, "forward_fill", order_by=["row_id"], buckets=16),
     gap_sql("price", f"coalesce(last_value(price IGNORE NULLS) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING), {_MED.format(x='price')})"))
 add("clean_ffill_text", cleaned(gaps, "row_id", "priority", MISSING, "forward_fill", order_by=["row_id"]),

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from colprep.functions.exprs import c, count_if, is_numeric, is_text, num
 from colprep.functions.ordered import BUCKET, OrderedFrame, small
-from colprep.functions.quantiles import exact_quantiles
+from colprep.functions.quantiles import exact_quantiles, weighted_descent
 from colprep.functions.text import strip, title_case, to_number, to_timestamp
 from colprep.operators import iforest
 from colprep.operators.knn import choose_features, knn_impute
@@ -73,16 +73,43 @@ def _need(value, message: str):
     return value
 
 
-def _fit_mean(df, column):
-    mean = df.agg(F.avg(num(df, column))).first()[0]
+def _weighted(df: DataFrame, column: str, weights: str) -> DataFrame:
+    """Values and weights ``(v, w)`` of the rows that hold both; a negative weight is an error."""
+    if not is_numeric(df.schema[weights].dataType):
+        raise ValueError("weights column must be numeric")
+    rows = df.select(c(column).alias("v"), num(df, weights).alias("w")).where("v IS NOT NULL AND w IS NOT NULL")
+    low, total = rows.agg(F.min("w"), F.sum("w")).first()
+    if low is not None and low < 0:
+        raise ValueError("weights must not be negative")
+    if not total:
+        raise ValueError("no value has a weight")
+    return rows
+
+
+def _fit_mean(df, column, weights: str | None = None):
+    """Mean of the observed values, by ``weights`` where a column of them is named."""
+    if weights:
+        rows = _weighted(df, column, weights)
+        mean = rows.agg(F.sum(num(rows, "v") * F.col("w")) / F.sum("w")).first()[0]
+    else:
+        mean = df.agg(F.avg(num(df, column))).first()[0]
     return {"imputed_value": _need(mean, "all values are missing")}
 
 
-def _fit_median(df, column):
+def _fit_median(df, column, weights: str | None = None):
+    """Median; with ``weights`` the smallest value at which the cumulative weight reaches half of the total."""
+    if weights:
+        rows = _weighted(df, column, weights)
+        return {"imputed_value": weighted_descent(rows, num(rows, "v"), F.col("w"), [0.5], 1e-12)[0.5][0]}
     return {"imputed_value": _need(_median(df, column), "all values are missing")}
 
 
-def _fit_mode(df, column):
+def _fit_mode(df, column, weights: str | None = None):
+    """Most frequent value, or the one with the most weight; the smallest on ties."""
+    if weights:
+        sums = _weighted(df, column, weights).groupBy("v").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+        best = sums.agg(F.min(F.struct((-F.col("w")).alias("neg"), F.col("v"), F.col("n")))).first()[0]
+        return {"imputed_value": best["v"], "mode_frequency": best["n"], "mode_weight": -best["neg"]}
     value, count = _need(_mode(df, column), "all values are missing")
     return {"imputed_value": value, "mode_frequency": count}
 

@@ -30,25 +30,30 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     """``(column, int_value, dbl_value, str_value, cnt)``, NULL as one group.
 
     Columns of one type family are unpivoted together, so there are at most
-    three shuffles whatever the number of columns, each on a native key. Partial
+    four shuffles whatever the number of columns, each on a native key. Partial
     aggregation before the shuffle keeps a value that holds a third of the rows
     cheap.
     """
     columns = list(columns or flat_columns(df))
-    families: dict[str, list[str]] = {"int_value": [], "dbl_value": [], "str_value": []}
+    families: dict[str, list[str]] = {"int_value": [], "dbl_value": [], "dec_value": [], "str_value": []}
     for name in columns:
         dtype = df.schema[name].dataType
         if isinstance(dtype, (*INTEGER_TYPES, T.BooleanType)):
             families["int_value"].append(name)
-        elif isinstance(dtype, (*FLOAT_TYPES, T.DecimalType)):
+        elif isinstance(dtype, FLOAT_TYPES):
             families["dbl_value"].append(name)
+        elif isinstance(dtype, T.DecimalType):
+            families["dec_value"].append(name)
         else:
             families["str_value"].append(name)
     cast = {
         "int_value": lambda x: x.cast("long"),
         "dbl_value": lambda x: x.cast("double") + F.lit(0.0),  # folds -0.0 into 0.0
+        # a decimal's own digits tell its values apart, whatever their size; the double only orders them
+        "dec_value": lambda x: x.cast("string"),
         "str_value": lambda x: x.cast("string"),
     }
+    holds = {"dec_value": ("dbl_value", "str_value")}
     types = {"int_value": "long", "dbl_value": "double", "str_value": "string"}
     parts = []
     for field, names in families.items():
@@ -58,7 +63,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         counts = df.select(F.inline(cells)).groupBy("id", "v").agg(F.count(F.lit(1)).alias("cnt"))
         label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("id") + 1)
         parts.append(counts.select(
-            label.alias("column"), *[(F.col("v") if f == field else F.lit(None)).cast(t).alias(f) for f, t in types.items()], "cnt"
+            label.alias("column"), *[(F.col("v") if f in holds.get(field, (field,)) else F.lit(None)).cast(t).alias(f) for f, t in types.items()], "cnt"
         ))
     return reduce(DataFrame.unionByName, parts)
 

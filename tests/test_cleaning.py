@@ -47,6 +47,21 @@ def test_fills_match_pandas_for_any_bucket_count(spark, buckets):
     assert apply(df, "missing_values", "interpolation", **args) == pytest.approx(s.interpolate().fillna(s.median()).tolist())
 
 
+def test_weighted_mean_median_and_mode(frame):
+    rows = [(1, 1.0, 1.0), (2, 2.0, 1.0), (3, 10.0, 5.0), (4, None, 9.0), (5, 2.0, None), (6, 4.0, 3.0)]
+    df = frame(rows, "id long, x double, w double")
+    mean = (1 + 2 + 50 + 12) / 10
+    assert apply(df, "missing_values", "mean_imputation", weights="w") == pytest.approx([1, 2, 10, mean, 2, 4])
+    assert apply(df, "missing_values", "median_imputation", weights="w") == [1, 2, 10, 4, 2, 4]
+    assert apply(df, "missing_values", "mode_imputation", weights="w") == [1, 2, 10, 10, 2, 4]
+    assert apply(df, "missing_values", "mode_imputation") == [1, 2, 10, 2, 2, 4]
+    words = frame([(1, "b", 2.0), (2, "a", 1.0), (3, "a", 1.0), (4, None, 1.0)], "id long, x string, w double")
+    assert apply(words, "missing_values", "mode_imputation", weights="w") == ["b", "a", "a", "a"]  # a tie of weights: the smallest
+    for bad in ([(1, 1.0, -1.0), (2, None, 1.0)], [(1, 1.0, 0.0), (2, None, 1.0)], [(1, 1.0, None)]):
+        with pytest.raises(ValueError):
+            fit_method(frame(bad, "id long, x double, w double"), "x", "missing_values", "mean_imputation", {"weights": "w"})
+
+
 def dense_spline(at, v, t):
     """Not-a-knot cubic spline from one dense system of all second derivatives."""
     n, h = len(at), np.diff(at)

@@ -164,3 +164,15 @@ def test_pairs_of_many_columns_with_gaps(spark, monkeypatch, block, count):
     phi = np.corrcoef(np.isnan(x).T)
     found = {(r["column1"], r["column2"]): r["phi"] for r in M.comissing_pairs(df, threshold=0.1).collect()}
     assert found == pytest.approx({(f"c {i}", f"c {j}"): phi[i, j] for i in range(count) for j in range(i + 1, count) if phi[i, j] > 0.1})
+
+
+def test_decimals_are_counted_by_their_digits(spark):
+    big = 2**53
+    df = spark.sql(f"SELECT * FROM VALUES (CAST({big}.01 AS DECIMAL(38,2)), 1.50), (CAST({big}.02 AS DECIMAL(38,2)), 1.50), (CAST({big}.02 AS DECIMAL(38,2)), -2.00), (NULL, NULL) AS t(a, b)")
+    rows = {r["column"]: r for r in P.profile_basic(df).collect()}
+    assert (rows["a"]["unique_count"], rows["b"]["unique_count"]) == (2, 2) and rows["b"]["median"] == 1.5
+    profile = P.TableProfile(df)
+    found = {r["column"]: r for r in profile.frequencies.collect()}
+    assert (found["a"]["mode_value"], found["a"]["mode_count"]) == (f"{big}.02", 2) and found["b"]["mode_value"] == "1.50"
+    top = [(r["value"], r["cnt"]) for r in P.vf_top(profile.vf.where("column = 'b'"), 5).orderBy("rank").collect()]
+    assert top == [("1.50", 2), ("-2.00", 1)]
