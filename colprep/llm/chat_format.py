@@ -1,8 +1,8 @@
 """Chat formatting with tool-call linking, DataFrame functions only.
 
 Calls and their results meet in a hash join by conversation and identifier. A call may name calls whose results it
-needs; calls are ordered by level: 0 without such calls, else one more than the highest level it needs, found in
-rounds of joins, one per level. Arguments are checked against the tools' parameter lists (missing, unknown, or of
+needs; calls are ordered by level: 0 without such calls, else one more than the highest level it needs. Chains of
+calls with one need are contracted by pointer doubling; calls with several needs are settled in rounds of joins. Arguments are checked against the tools' parameter lists (missing, unknown, or of
 another type). Every message, call and result becomes one line of canonical JSON: sorted keys, no blanks, null
 fields left out, numbers as the variant type writes them. (level, turn) orders the lines of a conversation, so no
 conversation has to be gathered in one task.
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colprep.llm.common import written
+from colprep.session import scratch_dir
 
 LINE = ["conv_id", "turn", "kind", "call_id", "level", "errors", "json"]
 # JSON schema types and the variant types that satisfy them.
@@ -60,25 +61,75 @@ def argument_errors(name: Column, arguments: Column, tools: list[Tool]) -> Colum
     return out
 
 
+def chain_ends(nodes: DataFrame) -> DataFrame:
+    """Pointer doubling along calls with one need: (conv_id, call_id, end, dist, done).
+
+    ``nodes``: conv_id, call_id, wanted (needs, null for none), need (one of them). The end is the first call on the
+    way that needs none or several, ``dist`` steps away. A round doubles the steps, so a chain of n calls takes log n
+    rounds of the same plan. Calls that never get to an end, in a cycle or behind one, are not done: every round
+    settles some call of each chain that has an end, so a round that settles none is the last.
+    """
+    one = F.col("wanted") == 1
+    steps = written(nodes.select(
+        "conv_id", "call_id", F.when(one, F.col("need")).otherwise(F.col("call_id")).alias("end"), F.when(one, 1).otherwise(0).alias("dist"), F.coalesce(~one, F.lit(True)).alias("done"),
+    ), "steps")
+    open_, before = steps.where(~F.col("done")).count(), None
+    while open_ and open_ != before:
+        onward = steps.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("next"), F.col("dist").alias("more"), F.col("done").alias("settled"))
+        moved = steps.where(~F.col("done")).join(onward, ["conv_id", "end"]).select("conv_id", "call_id", F.col("next").alias("end"), (F.col("dist") + F.col("more")).alias("dist"), F.col("settled").alias("done"))
+        steps = written(steps.where("done").unionAll(moved), "steps")
+        open_, before = steps.where(~F.col("done")).count(), open_
+    return steps
+
+
+def merge_levels(edges: DataFrame) -> DataFrame:
+    """Levels of calls with several needs, by rounds over the newest ones alone.
+
+    ``edges``: conv_id, call_id, end, dist (steps from the call to the end), kind of end: ``root`` needs nothing,
+    ``merge`` has several needs itself, ``cycle`` never settles. A call holds the number of needs that are not settled
+    and the highest level so far; a round joins the edges with the calls settled last.
+    """
+    spark = edges.sparkSession
+    key = ["conv_id", "call_id"]
+    waiting = written(edges.groupBy(*key).agg(F.count_if(F.col("kind") != "root").alias("open"), F.max(F.when(F.col("kind") == "root", F.col("dist"))).alias("top")), "waiting")
+    between = written(edges.where("kind = 'merge'").select(*key, "end", "dist"), "between")
+    path = scratch_dir(spark, "merge-levels")
+    schema = waiting.select(*key, F.col("top").alias("level")).schema
+    spark.createDataFrame([], schema).write.parquet(path)
+    while True:
+        newest = written(waiting.where("open = 0").select(*key, F.col("top").alias("level")), "newest")
+        if newest.isEmpty():
+            return spark.read.schema(schema).parquet(path)
+        newest.write.mode("append").parquet(path)
+        came = between.join(newest.withColumnRenamed("call_id", "end"), ["conv_id", "end"]).groupBy(*key).agg(F.count(F.lit(1)).alias("came"), F.max(F.col("level") + F.col("dist")).alias("high"))
+        waiting = written(waiting.where("open > 0").join(came, key, "left").select(
+            *key, (F.col("open") - F.coalesce("came", F.lit(0))).alias("open"), F.greatest("top", "high").alias("top"),
+        ), "waiting")
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, dangling) of distinct calls (conv_id, call_id, after array<string>)."""
+    """(conv_id, call_id, level, dangling) of distinct calls (conv_id, call_id, after array<string>).
+
+    Chains are contracted to their ends first; only calls with several needs go through rounds level by level.
+    """
     key = ["conv_id", "call_id"]
     needs = calls.select(*key, F.explode("after").alias("need")).where("need IS NOT NULL").distinct()
     known = calls.select("conv_id", F.col("call_id").alias("need")).distinct()
     marked = needs.join(known.withColumn("known", F.lit(True)), ["conv_id", "need"], "left")
     dangling = marked.where("known IS NULL").select(*key).distinct().withColumn("dangling", F.lit(True))
     needs = written(marked.where("known").drop("known"), "needs")
-    waiting = needs.groupBy(*key).agg(F.count("*").alias("wanted"))
-    levels = calls.select(*key).distinct().join(waiting, key, "left_anti").withColumn("level", F.lit(0))
-    levels, number = written(levels, "levels"), 0
-    while not needs.isEmpty():
-        # calls of which every need has a level, and at least one has the newest
-        have = needs.join(levels.withColumnRenamed("call_id", "need"), ["conv_id", "need"])
-        ready = have.groupBy(*key).agg(F.count("*").alias("have"), F.max("level").alias("top")).where(F.col("top") == number)
-        new = written(ready.join(waiting, key).where("have = wanted").select(*key, (F.lit(number) + 1).alias("level")), "levels")
-        if new.isEmpty():
-            break
-        levels, number = levels.unionAll(new), number + 1
+    counts = needs.groupBy(*key).agg(F.count(F.lit(1)).alias("wanted"), F.min("need").alias("need"))
+    nodes = written(calls.select(*key).distinct().join(counts, key, "left"), "nodes")
+    ends = chain_ends(nodes)
+    merges = nodes.where("wanted > 1").select("conv_id", "call_id")
+    is_merge = merges.select("conv_id", F.col("call_id").alias("end"), F.lit(True).alias("merge"))
+    placed = written(ends.join(is_merge, ["conv_id", "end"], "left"), "placed")
+    levels = placed.where("done AND merge IS NULL").select(*key, F.col("dist").alias("level"))
+    if not merges.isEmpty():
+        of_need = placed.select("conv_id", F.col("call_id").alias("need"), "end", (F.col("dist") + 1).alias("dist"), F.when(~F.col("done"), "cycle").when(F.col("merge"), "merge").otherwise("root").alias("kind"))
+        settled = merge_levels(needs.join(merges, key).join(of_need, ["conv_id", "need"]).select(*key, "end", "dist", "kind"))
+        behind = placed.where("done AND merge").join(settled.select("conv_id", F.col("call_id").alias("end"), F.col("level").alias("base")), ["conv_id", "end"])
+        levels = levels.unionAll(behind.select(*key, (F.col("base") + F.col("dist")).alias("level")))
     return calls.select(*key).distinct().join(levels, key, "left").join(dangling, key, "left")
 
 

@@ -148,6 +148,34 @@ def test_chat_lines(spark):
     assert rows[None, 0]["json"] == '{"content":"q\\"\\n"}' and len(rows) == 12
 
 
+def plain_levels(after):
+    """Levels by repeated passes; None in a cycle or behind one."""
+    level, moved = {}, True
+    while moved:
+        moved = False
+        for call, needs in after.items():
+            held = [n for n in needs if n in after]
+            if call not in level and all(n in level for n in held):
+                level[call], moved = 1 + max((level[n] for n in held), default=-1), True
+    return level
+
+
+def test_levels_of_long_chains_and_merges(spark):
+    rng = random.Random(11)
+    graphs = {
+        1: {f"c{k}": [f"c{k - 1}"] if k else [] for k in range(1000)},  # one chain of 1,000 calls
+        2: {f"c{k}": [] if not k else rng.sample([f"c{j}" for j in range(k)], min(k, rng.choice([0, 1, 1, 1, 2, 3]))) for k in range(150)},
+        3: {"a": ["b"], "b": ["a"], "c": ["b"], "d": ["d"], "e": ["c", "f"], "f": [], "g": ["e"], "h": ["f", "gone"], "i": ["h", "f"], "j": ["i"], "k": ["j", "i"], "l": ["k"]},
+        4: {"x": ["gone"], "y": []},
+    }
+    rows = [(conv, call, [*needs, None]) for conv, graph in graphs.items() for call, needs in graph.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in chat_format.call_levels(calls).collect()}
+    want = {(conv, call): plain_levels(graph).get(call) for conv, graph in graphs.items() for call in graph}
+    assert got == want and got[1, "c999"] == 999 and got[3, "g"] is None and got[3, "l"] is not None
+    assert chat_format.call_levels(calls.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_jaccard_join", "op2_chat_format", "op6_top_k", "op9_warc"])
 def test_oracles(spark, name):
     base = duckdb.connect()
