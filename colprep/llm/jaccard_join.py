@@ -6,14 +6,15 @@ with the same words are one class from the start. Every set is embedded in ``COO
 * Chosen paths. A run starts with one node. Every node samples coordinates with probability 1 / (similarity *
   COORDINATES) and at least one; a set moves into the child named by its value there. Nodes of at most
   ``SMALL_NODE`` sets are compared by brute force on the embedded values, with a bound well below the similarity
-  asked for. In a larger one, sets are compared with the smallest one, the pivot: those near it get an edge to it,
-  and those so near that whatever is similar to them must be near the pivot too (Jaccard distance is a metric) need
-  not go on; the others are split again. Nodes that are still large after ``DEPTH`` splits agree in so many
-  coordinates that they are kept together. Nothing is dropped. Pairs are never written: a node returns, for each
-  of its sets, one edge of a spanning forest.
-* Runs repeat in rounds. Of the sets for which a round finds a partner of the similarity asked for (by their embedded
-  values), the share that earlier rounds had found one for estimates the recall so far; rounds go on until it
-  reaches ``RECALL`` (at least two rounds). Less similar candidates are kept but say nothing about that recall.
+  asked for. A larger one is dealt into chunks of about that size, compared alike; there a set that is ``SETTLED``
+  near one that goes on stays behind with an edge to it, and all others are split again, so near copies leave at
+  the first level and texts that share no more than a passage part at the next. Nodes that are still large after
+  ``DEPTH`` splits agree in so many coordinates that they are kept together. Nothing is dropped. Pairs are never
+  written: a chunk returns, for each of its sets, one edge of a spanning forest.
+* Runs repeat in rounds. The ``SAMPLE`` sets of smallest hash (all, if fewer) are compared with every set by their
+  embedded values; the share of their partners of the similarity asked for that stand in their cluster, as a
+  mean over the sampled sets that have any, is the recall. Rounds go on until it reaches ``RECALL``; if
+  ``MAX_ROUNDS`` do not, the join raises.
 * Exact check. Edges are contracted to clusters; the whole shingle sets of a cluster's texts are compared exactly,
   in pairs of blocks of at most ``BLOCK`` sets, so a cluster of any size is spread over tasks. Each block returns
   per set the number of documents it is linked to and an edge to its block's smallest linked set.
@@ -44,15 +45,19 @@ SHINGLE = 5
 COORDINATES = 128
 RUNS = 8  # of a round
 RECALL = 0.99
+SAMPLE = 2048
 MAX_ROUNDS = 8
-SMALL_NODE = 1024  # some 40 microseconds a set at worst, less than a further split
+SMALL_NODE = 1024
 DEPTH = 6
-SETTLED = 0.75  # a set this near the pivot of a large node does not go on: 0.8 + 0.75 - 1 is above CANDIDATE
+SETTLED = 0.75  # what is 0.8 alike such a set is 0.55 alike, by the metric, the one that it settles with
 CANDIDATE = 0.5  # share of equal coordinates from which two sets are checked exactly
+HEAD, HEAD_EQUAL = 32, 8  # pairs with fewer equal among their first coordinates are below CANDIDATE
+MAX_STARS = 50
 BLOCK = 512
 CHUNK = 1 << 18  # edges that a task contracts together
 TASKS = 4  # a core, for splitting nodes and contracting edges
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SHARE = np.uint64(int(2**64 / (SIMILARITY * COORDINATES)))
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE):
@@ -66,8 +71,21 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE):
         yield low, digests, values, at
 
 
+def _fill_order() -> np.ndarray:
+    """For every bin the other bins in an order of its own."""
+    lots = mixed(np.arange(1, COORDINATES * COORDINATES + 1, dtype=np.uint64) * _ODD).reshape(COORDINATES, COORDINATES)
+    return np.argsort(lots, axis=1)
+
+
+_FILL = _fill_order()
+
+
 def embed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, COORDINATES) minimum values: one permutation, cut into bins; empty bins take the next filled one's."""
+    """(rows, COORDINATES) minimum values: one permutation, cut into bins.
+
+    An empty bin takes the value of the first filled bin in its own order of bins. Two sets agree there if that bin
+    of their union does, so coordinates of short sets are drawn one by one, and sets of any two sizes compare.
+    """
     rows = len(at) - 1
     row = np.repeat(np.arange(rows), np.diff(at))
     place = row * COORDINATES + (values >> np.uint64(57)).astype(np.int64)
@@ -77,13 +95,15 @@ def embed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     filled = np.zeros(rows * COORDINATES, bool)
     out[place[first]] = mixed(values[first]).astype(np.uint32)
     filled[place[first]] = True
-    out, filled = out.reshape(rows, COORDINATES), filled.reshape(rows, COORDINATES)
-    twice = np.concatenate([filled, filled], axis=1)
-    index = np.where(twice, np.arange(2 * COORDINATES), 4 * COORDINATES)
-    following = np.minimum.accumulate(index[:, ::-1], axis=1)[:, ::-1][:, :COORDINATES]
-    distance = (following - np.arange(COORDINATES)).astype(np.uint32)
-    taken = np.take_along_axis(out, np.minimum(following % COORDINATES, COORDINATES - 1), 1)
-    return taken + distance * np.uint32(0x9E3779B1)
+    empty = np.flatnonzero(~filled & np.repeat(np.diff(at) > 0, COORDINATES))
+    for step in range(COORDINATES):
+        if not len(empty):
+            break
+        source = empty // COORDINATES * COORDINATES + _FILL[empty % COORDINATES, step]
+        known = filled[source]
+        out[empty[known]] = out[source[known]]
+        empty = empty[~known]
+    return out.reshape(rows, COORDINATES)
 
 
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,47 +133,45 @@ def set_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key binary, set binary")
 
 
+def _lots(node: np.ndarray) -> np.ndarray:
+    """(nodes, COORDINATES) draws; a node samples the coordinates whose draw is below ``_SHARE``."""
+    return mixed(node[:, None] * _ODD + np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def root_children(root: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) where all sets stand in one node, so its coordinates are drawn once."""
+    lots = _lots(root)[0]
+    chosen = np.union1d(np.flatnonzero(lots < _SHARE), lots.argmin())
+    child = mixed(lots[chosen] ^ mixed(sketch[:, chosen].astype(np.uint64) + root))
+    return np.repeat(np.arange(len(sketch)), len(chosen)), child.ravel()
+
+
 def children(node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, child) for every coordinate that a row's node samples."""
-    lots = mixed(node[:, None] * _ODD + np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    chosen = lots < np.uint64(int(2**64 / (SIMILARITY * COORDINATES)))
+    lots = _lots(node)
+    chosen = lots < _SHARE
     chosen[np.arange(len(node)), lots.argmin(1)] = True
     row, coordinate = np.nonzero(chosen)
     return row, mixed(lots[row, coordinate] ^ mixed(sketch[row, coordinate].astype(np.uint64) + node[row]))
 
 
-def _start(rows: DataFrame, runs: list[int]) -> DataFrame:
-    """(key, node) of the first level of some runs."""
+def _paths(rows: DataFrame, runs: list[int] | None = None) -> DataFrame:
+    """Children (key, node, low: one byte a coordinate) of sets (key, sketch) at the root of some runs, or of their column node."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            for number in runs:
-                row, child = children(np.full(batch.num_rows, mixed(np.array([number + 1], np.uint64))[0]), sketch)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(child.astype(np.int64))], names=["key", "node"])
-
-    return rows.mapInArrow(run, "key binary, node long")
-
-
-def _split(rows: DataFrame) -> DataFrame:
-    """Members of large nodes (key, node, sketch, pivot, pivot_sketch): edges (key, b, strong) to the pivot, children (key, node) of the rest."""
+            low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), len(sketch), [None, pa.py_buffer(sketch.astype(np.uint8).tobytes())]).cast(pa.binary())
+            for number in [None] if runs is None else runs:
+                if number is None:
+                    row, child = children(batch.column("node").to_numpy(zero_copy_only=False).astype(np.uint64), sketch)
+                else:
+                    row, child = root_children(mixed(np.array([number + 1], np.uint64)), sketch)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(child.astype(np.int64)), low.take(pa.array(row))], names=["key", "node", "low"])
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sketch, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
-            equal = (sketch == pivot).mean(1)
-            near, rest = np.flatnonzero(equal >= CANDIDATE), np.flatnonzero(equal < SETTLED)
-            row, child = children(batch.column("node").to_numpy(zero_copy_only=False).astype(np.uint64)[rest], sketch[rest])
-            key = batch.column("key")
-            names = ["key", "node", "b", "strong"]
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(near)), pa.nulls(len(near), pa.int64()), batch.column("pivot").take(pa.array(near)), pa.array(equal[near] >= SIMILARITY)], names=names)
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(rest[row])), pa.array(child.astype(np.int64)), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.bool_())], names=names)
-
-    return rows.mapInArrow(run, "key binary, node long, b binary, strong boolean")
+    return rows.mapInArrow(run, "key binary, node long, low binary")
 
 
 def _spanning(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,57 +209,92 @@ def _groups(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
-def _compare_small(rows: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) of the pairs in small nodes that may be similar; strong: a has a partner of the similarity asked for."""
+def equal_coordinates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of equal bytes of each pair of rows; a row holds a multiple of eight."""
+    return np.bitwise_count((a == b).view(np.uint64)).sum(1)
+
+
+def near_pairs(low: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, equal coordinates) of the pairs within the chunks between cuts that reach ``CANDIDATE``."""
+    end = np.repeat(cuts[1:], np.diff(cuts))
+    head = np.ascontiguousarray(low[:, :HEAD])
+    lefts, rights, equals = [], [], []
+    left, shift = np.arange(len(low)), 0
+    while True:  # pairs at one distance at a time
+        shift += 1
+        left = left[left + shift < end[left]]
+        if not len(left):
+            break
+        for k in range(0, len(left), 8192):
+            part = left[k : k + 8192]
+            part = part[equal_coordinates(head[part], head[part + shift]) >= HEAD_EQUAL]
+            equal = equal_coordinates(low[part], low[part + shift])
+            near = equal >= CANDIDATE * COORDINATES
+            lefts.append(part[near])
+            rights.append(part[near] + shift)
+            equals.append(equal[near])
+    if not lefts:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(lefts), np.concatenate(rights), np.concatenate(equals)
+
+
+def settled_rows(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows that stay behind: those with an edge (a, b), a < b, from a row that does not."""
+    out = np.zeros(count, bool)
+    order = np.argsort(b, kind="stable")
+    a, b = a[order], b[order]
+    later, first = np.unique(b, return_index=True)
+    for row, low, high in zip(later.tolist(), first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
+        out[row] = not out[a[low:high]].all()
+    return out
+
+
+def _compare(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Spanning edges (a, b) of the pairs in chunks of nodes that may be similar; (a, node) of the sets that go on from large nodes."""
 
     def run(batches):
-        for table in _groups(batches, "node"):
-            node = table.column("node").to_numpy()
-            keys = table.column("key").to_pylist()
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
-            end = np.repeat(cuts[1:], np.diff(cuts))
-            lefts, rights, strong = [], [], np.zeros(len(node), bool)
-            for shift in range(1, int(np.diff(cuts).max())):  # pairs at this distance within a node
-                a = np.flatnonzero(np.arange(len(node)) + shift < end)
-                for k in range(0, len(a), 8192):
-                    part = a[k : k + 8192]
-                    equal = (sketch[part] == sketch[part + shift]).mean(1)
-                    near, alike = equal >= CANDIDATE, part[equal >= SIMILARITY]
-                    strong[alike] = strong[alike + shift] = True
-                    lefts.append(part[near])
-                    rights.append(part[near] + shift)
-            if lefts:
-                label = _spanning(len(node), np.concatenate(lefts), np.concatenate(rights))
-                told = np.flatnonzero((label != np.arange(len(node))) | strong).tolist()  # the smallest of a component has an edge to itself
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in told], pa.binary()), pa.array([keys[label[k]] for k in told], pa.binary()), pa.array(strong[told])], names=["a", "b", "strong"])
-
-    return rows.repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "key").mapInArrow(run, "a binary, b binary, strong boolean")
+        names = ["a", "b", "node"]
+        for table in _groups(batches, "chunk"):
+            chunk = table.column("chunk").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]])
+            keys = table.column("key").combine_chunks()
+            low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            big = table.column("big").to_numpy()
+            a, b, equal = near_pairs(low, cuts)
+            label = _spanning(len(chunk), a, b)
+            told = np.flatnonzero(label != np.arange(len(chunk)))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(told)), keys.take(pa.array(label[told])), pa.nulls(len(told), pa.int64())], names=names)
+            if big.any():
+                near = big[a] & (equal >= SETTLED * COORDINATES)
+                on = np.flatnonzero(big & ~settled_rows(len(chunk), a[near], b[near]))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(on)), pa.nulls(len(on), pa.binary()), pa.array(table.column("node").to_numpy()[on])], names=names)
+
+    if large is None:
+        dealt = rows.select("node", "key", "low", F.col("node").alias("chunk"), F.lit(False).alias("big"))
+    else:
+        number = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("count") / SMALL_NODE))
+        big = F.col("count").isNotNull()
+        dealt = rows.join(large, "node", "left").select("node", "key", "low", F.when(big, F.xxhash64("node", number)).otherwise(F.col("node")).alias("chunk"), big.alias("big"))
+    return dealt.repartition(partitions(rows.sparkSession), "chunk").sortWithinPartitions("chunk", "key").mapInArrow(run, "a binary, b binary, node long")
 
 
 def run_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
-    """Spanning edges found by some runs, as a written table."""
-    found, small, level = [], [], written(_start(sets, runs), "nodes")
+    """Spanning edges found by some runs."""
+    found, rows = [], _paths(sets, runs)
     for depth in range(1, DEPTH + 1):
-        sizes = written(level.groupBy("node").agg(F.count("*").alias("count"), F.min("key").alias("pivot")).where("count > 1"), "sizes")
-        small.append(level.join(sizes.where(F.col("count") <= SMALL_NODE).select("node"), "node").select("node", "key"))
-        large = sizes.where(F.col("count") > SMALL_NODE).select("node", "pivot")
-        if large.isEmpty():
+        large = written(rows.groupBy("node").count().where(F.col("count") > SMALL_NODE), "large")
+        last = large.isEmpty()
+        step = written(_compare(rows, None if last else large), "step")
+        found.append(step.where("b IS NOT NULL").select("a", "b"))
+        if last:
             break
-        members = level.join(large, "node").select("node", "key", "pivot")
+        on = step.where("node IS NOT NULL").select(F.col("a").alias("key"), "node")
         if depth == DEPTH:
-            found.append(members.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("strong")))
+            together = on.groupBy("node").agg(F.min("key").alias("b"))
+            found.append(on.join(together, "node").where("key != b").select(F.col("key").alias("a"), "b"))
             break
-        # written, so that Spark knows its size: one row per large node, few enough to broadcast or else a skew-split join
-        pivots = written(large.join(sets.withColumnsRenamed({"key": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "pivot_sketch"), "pivots")
-        # rows are streamed, so neighbouring partitions can share a task: Python starts and files follow the cores
-        rows = members.join(sets, "key").join(pivots, "node").select("key", "node", "sketch", "pivot", "pivot_sketch")
-        step = written(_split(rows.coalesce(TASKS * sets.sparkSession.sparkContext.defaultParallelism)), "nodes")
-        found.append(step.where("b IS NOT NULL AND key != b").select(F.col("key").alias("a"), "b", "strong"))
-        level = step.where("node IS NOT NULL").select("key", "node")
-    # small nodes of all levels are compared in one pass: a node's number is its own at every level
-    found.append(_compare_small(reduce(DataFrame.unionAll, small).join(sets, "key").select("node", "key", "sketch")))
-    return written(reduce(DataFrame.unionAll, found), "edges")
+        rows = written(_paths(on.join(sets, "key").select("key", "node", "sketch")), "paths")
+    return reduce(DataFrame.unionAll, found)
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -271,7 +324,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) of every key in an edge, root the smallest key of its component: large-star and small-star rounds."""
     current = written(_contracted(edges).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), "components")
-    for _ in range(50):
+    for _ in range(MAX_STARS):
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
@@ -282,24 +335,51 @@ def components(edges: DataFrame) -> DataFrame:
         ends = current.select(F.col("u").alias("key"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(current.select(F.col("v").alias("key"), F.lit(0).alias("down"), F.lit(1).alias("up")))
         if ends.groupBy("key").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components are not done after {MAX_STARS} rounds")
     roots = current.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()
-    return current.select(F.col("u").alias("key"), F.col("v").alias("root")).unionAll(roots)
+    return written(current.select(F.col("u").alias("key"), F.col("v").alias("root")).unionAll(roots), "clusters")
 
 
-def clusters(sets: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(key, root) of the sets that may have a similar one; rounds of runs until the estimated recall is reached."""
-    def touched(edges: DataFrame) -> DataFrame:
-        return edges.where("strong").select(F.col("a").alias("key")).distinct()
+def recall_of(sets: DataFrame, found: DataFrame, similarity: float = SIMILARITY, sample: int = SAMPLE) -> float:
+    """Mean share, over the sampled sets with partners of the similarity, of those that stand in the set's cluster."""
+    rooted = sets.join(found, "key", "left").select(F.xxhash64("key").alias("name"), F.when(F.col("root").isNull(), 0).otherwise(F.xxhash64("root")).alias("root"), "sketch")
+    asked = rooted.orderBy("name").limit(sample).toArrow()
+    names, roots = asked.column("name").to_numpy(), asked.column("root").to_numpy()
+    want = np.frombuffer(b"".join(asked.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint8)
+    enough = similarity * COORDINATES
 
-    edges = run_edges(sets, list(range(RUNS)))
-    for number in range(1, MAX_ROUNDS):
+    def run(batches):
+        links, hits = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, held = batch.column("name").to_numpy(zero_copy_only=False), batch.column("root").to_numpy(zero_copy_only=False)
+            low = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint8)
+            head = np.ascontiguousarray(low[:, :HEAD])
+            for k in range(len(names)):
+                maybe = np.flatnonzero(equal_coordinates(head, want[k : k + 1, :HEAD]) >= HEAD_EQUAL)
+                near = maybe[(equal_coordinates(low[maybe], want[k : k + 1]) >= enough) & (keys[maybe] != names[k])]
+                links[k] += len(near)
+                hits[k] += (held[near] == roots[k]).sum() if roots[k] else 0
+        at = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(links[at]), pa.array(hits[at])], names=["asked", "links", "hits"])
+
+    told = rooted.mapInArrow(run, "asked long, links long, hits long").groupBy("asked").agg(F.sum("links").alias("links"), F.sum("hits").alias("hits"))
+    return told.agg(F.avg(F.col("hits") / F.col("links"))).first()[0] or float(not told.limit(1).count())
+
+
+def clusters(sets: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(key, root) of the sets that may have a similar one; rounds of runs until the recall is reached."""
+    edges, share = None, 0.0
+    for number in range(MAX_ROUNDS):
         more = run_edges(sets, list(range(number * RUNS, (number + 1) * RUNS)))
-        earlier = touched(edges).withColumn("known", F.lit(1))
-        share = touched(more).join(earlier, "key", "left").agg(F.count("*").alias("n"), F.sum("known").alias("known")).first()
-        edges = edges.unionAll(more)
-        if (share["known"] or 0) >= recall * share["n"]:
-            break
-    return components(edges)
+        edges = more if edges is None else edges.unionAll(more)
+        found = components(edges)
+        share = recall_of(sets, found)
+        if share >= recall:
+            return found
+    raise RuntimeError(f"the join found {share:.3f} of the sampled links in {MAX_ROUNDS} rounds, {recall} were asked for")
 
 
 def exact_counts(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -357,7 +437,7 @@ def _rooted(docs: DataFrame, similarity: float, recall: float, id_col: str = "do
     sketches = written(sketch_table(docs, id_col, text_col), "sketches")
     classes = written(sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     sets = classes.where("n > 0").select("key", "sketch")
-    found = written(clusters(sets, recall), "clusters")
+    found = clusters(sets, recall)
     # Whole sets of the texts in clusters, one text per class.
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
     member = found.join(sizes, "root").join(classes.select("key", "weight"), "key")

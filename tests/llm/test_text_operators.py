@@ -182,6 +182,44 @@ def test_jaccard_join_equals_brute_force(spark, docs, monkeypatch):
     assert jaccard_join.similar_documents(docs([]).limit(0)).count() == 0
 
 
+def test_jaccard_join_finds_short_near_copies(spark, docs):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n in [9] * 150 + [10] * 100 + [13] * 100 + [20] * 50:  # 9 words: four of five shingles stay
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[:-1])]
+    got = jaccard_join.similar_documents(docs(texts)).orderBy("doc_id").collect()
+    assert [(r["class_id"], r["n_links"]) for r in got] == [(k - k % 2, 1) for k in range(len(texts))]
+
+
+def test_short_sets_agree_in_their_share_of_coordinates():
+    rng = np.random.default_rng(2)
+    kept = [np.sort(rng.integers(0, 2**64, 5, np.uint64)) for _ in range(3000)]
+    sets = [x for v in kept for x in (v, np.delete(v, 2))]
+    low = jaccard_join.embed(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])).astype(np.uint8)
+    share = jaccard_join.equal_coordinates(low[::2], low[1::2]) / jaccard_join.COORDINATES
+    assert share.min() >= jaccard_join.CANDIDATE and abs(share.mean() - 0.8) < 0.01
+    a, b, _ = jaccard_join.near_pairs(low, np.arange(0, len(low) + 1, 2))
+    assert (a == np.arange(0, len(low), 2)).all() and (b == a + 1).all()
+
+
+def test_settled_rows_have_an_edge_to_one_that_goes_on():
+    assert jaccard_join.settled_rows(5, np.array([0, 1, 2, 0]), np.array([1, 2, 3, 4])).tolist() == [False, True, False, True, True]
+
+
+def test_jaccard_join_raises_where_recall_is_not_reached(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MAX_ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "RUNS", 1)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([f"x{k}", *words[1:]]) for k in range(3)]
+    sets = jaccard_join.sketch_table(docs(texts)).select("key", "sketch")
+    assert jaccard_join.recall_of(sets, sets.limit(0).selectExpr("key", "key root")) == 0
+    assert jaccard_join.recall_of(sets, sets.selectExpr("key", "X'00' root")) == 1
+    with pytest.raises(RuntimeError):
+        jaccard_join.clusters(sets, recall=1.01)
+
+
 def test_jaccard_join_counts_repeated_rows_and_null_ids(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
