@@ -78,6 +78,7 @@ def _fill_order() -> np.ndarray:
 
 
 _FILL = _fill_order()
+_FOLD = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).astype(np.uint32).reshape(2, COORDINATES) | np.uint32(1)
 
 
 def embed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -106,6 +107,12 @@ def embed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.reshape(rows, COORDINATES)
 
 
+def low_bytes(sketch: np.ndarray) -> np.ndarray:
+    """One byte a coordinate. Every coordinate has a hash of its own: a short set repeats its few values, and two
+    values that share a byte in one coordinate must not do so in all."""
+    return (((sketch ^ _FOLD[0]) * _FOLD[1]) >> np.uint32(24)).astype(np.uint8)
+
+
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (digest of the word sequence), n (shingles), sketch."""
 
@@ -163,7 +170,7 @@ def _paths(rows: DataFrame, runs: list[int] | None = None) -> DataFrame:
             if not batch.num_rows:
                 continue
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), len(sketch), [None, pa.py_buffer(sketch.astype(np.uint8).tobytes())]).cast(pa.binary())
+            low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), len(sketch), [None, pa.py_buffer(low_bytes(sketch).tobytes())]).cast(pa.binary())
             for number in [None] if runs is None else runs:
                 if number is None:
                     row, child = children(batch.column("node").to_numpy(zero_copy_only=False).astype(np.uint64), sketch)
@@ -346,7 +353,7 @@ def recall_of(sets: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
     rooted = sets.join(found, "key", "left").select(F.xxhash64("key").alias("name"), F.when(F.col("root").isNull(), 0).otherwise(F.xxhash64("root")).alias("root"), "sketch")
     asked = rooted.orderBy("name").limit(sample).toArrow()
     names, roots = asked.column("name").to_numpy(), asked.column("root").to_numpy()
-    want = np.frombuffer(b"".join(asked.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint8)
+    want = low_bytes(np.frombuffer(b"".join(asked.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES))
     enough = similarity * COORDINATES
 
     def run(batches):
@@ -355,7 +362,7 @@ def recall_of(sets: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
             if not batch.num_rows:
                 continue
             keys, held = batch.column("name").to_numpy(zero_copy_only=False), batch.column("root").to_numpy(zero_copy_only=False)
-            low = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint8)
+            low = low_bytes(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES))
             head = np.ascontiguousarray(low[:, :HEAD])
             for k in range(len(names)):
                 maybe = np.flatnonzero(equal_coordinates(head, want[k : k + 1, :HEAD]) >= HEAD_EQUAL)

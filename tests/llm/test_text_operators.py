@@ -197,13 +197,19 @@ def test_short_sets_agree_in_their_share_of_coordinates():
     rng = np.random.default_rng(2)
     kept = [np.sort(rng.integers(0, 2**64, 5, np.uint64)) for _ in range(3000)]
     sets = [x for v in kept for x in (v, np.delete(v, 2))]
-    low = jaccard_join.embed(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])).astype(np.uint8)
+    low = jaccard_join.embed(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    low = jaccard_join.low_bytes(low)
     share = jaccard_join.equal_coordinates(low[::2], low[1::2]) / jaccard_join.COORDINATES
     assert share.min() >= jaccard_join.CANDIDATE and abs(share.mean() - 0.8) < 0.01
     a, b, _ = jaccard_join.near_pairs(low, np.arange(0, len(low) + 1, 2))
     assert (a == np.arange(0, len(low), 2)).all() and (b == a + 1).all()
 
 
+def test_unequal_sets_of_one_shingle_do_not_agree():
+    low = jaccard_join.low_bytes(jaccard_join.embed(np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(3001)))
+    assert jaccard_join.equal_coordinates(low[1:], low[:-1]).max() < 16 and not len(jaccard_join.near_pairs(low, np.array([0, 3000]))[0])
+
+
 def test_settled_rows_have_an_edge_to_one_that_goes_on():
     assert jaccard_join.settled_rows(5, np.array([0, 1, 2, 0]), np.array([1, 2, 3, 4])).tolist() == [False, True, False, True, True]
 
