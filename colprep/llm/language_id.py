@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colprep.llm.common import classes, lower_bytes, mixed, slices
@@ -143,13 +143,16 @@ class Model:
         return out, score
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on about ``per_language`` rows of every language; None if there is no labelled text."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Fit on ``per_language`` texts of every language at most; None if there is no labelled text.
+
+    Texts are drawn by their hash, so ids of any kind do not matter and a repeated text counts once.
+    """
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
 
     def run(batches):
@@ -158,7 +161,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "do
                 for row, vector in zip(range(low, high), frequencies(data, offsets), strict=True):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([vector.tobytes()], pa.binary())], names=["lang", "x"])
 
-    sample = rows.where(draw < share).select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    # some per_language rows of a language are left for the window: copies are put together before
+    drawn = rows.where(draw < share).select("lang", F.xxhash64("text").alias("row"), "text").dropDuplicates(["lang", "row"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("row"))
+    sample = drawn.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
     lang = np.array(sample.column("lang").to_pylist(), object)
     x = np.stack([np.frombuffer(v.as_py(), np.float32) for v in sample.column("x")]) if len(lang) else np.zeros((0, BINS), np.float32)
     languages = sorted(set(lang.tolist()))

@@ -141,6 +141,15 @@ def test_language_cases(spark, docs):
     assert [r["doc_id"] for r in language_id.drop_undetermined(docs(texts)).orderBy("doc_id").collect()] == list(range(3, 12))
 
 
+def test_language_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    seen = []
+    machine = language_id.fit_machine
+    monkeypatch.setattr(language_id, "fit_machine", lambda x, y: seen.append(len(x)) or machine(x, y))
+    rows = spark.range(6000).selectExpr("cast(null as long) doc_id", "concat('the thing and of ', if(id % 3 = 0, 0, id)) text", "if(id % 2 = 0, 'en', 'de') lang")
+    language_id.fit(rows, per_language=50)
+    assert seen and 40 <= max(seen) <= 100
+
+
 def brute_links(texts):
     sets = []
     for t in texts:
