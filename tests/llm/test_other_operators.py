@@ -131,6 +131,30 @@ def test_top_k_cases(spark, monkeypatch):
     assert topk_index.top_k(spark.createDataFrame(rows[:0], "vec_id long, embedding array<double>, ids string")).count() == 0
 
 
+def test_top_k_repeated_ids_and_unequal_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk_index, "BLOCK", 32)
+    monkeypatch.setattr(topk_index, "ENOUGH", 3)
+    rng = np.random.default_rng(2)
+    rows = [(int(k), [float(x) for x in rng.normal(size=rng.integers(1, 9)).round(1)]) for k in rng.integers(0, 60, 300) * 10]
+    rows += rows[:40] + [(100, [0.0] * 3), (100, [1.0, 2.0]), (100, [1.0, 2.0])]
+    got = topk_index.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect()
+    v = np.zeros((len(rows), 8), np.int64)
+    for r, (_, x) in enumerate(rows):
+        v[r, : len(x)] = np.floor(1024 * np.array(x))
+    for query in {k for k, _ in rows if k % 100 == 0}:
+        asked = {tuple(v[r]): r for r, (k, _) in enumerate(rows) if k == query}.values()
+        answers = sorted((-int(v[r] @ v[c]), k) for r in asked for c, (k, _) in enumerate(rows) if k != query)
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == query)
+        assert mine == [(n, k, -s) for n, (s, k) in enumerate(answers[:4], 1)]
+
+
+def test_posting_segments_fall_and_hold_every_value():
+    values = np.array([[5, -1, 0], [-4, 1 << 40, 3], [0, 0, 0]])
+    postings, ends = topk_index.segments(values)
+    assert [values.flat[p] for p in postings] == [1 << 40, 5, -4, 3, -1] and ends[-1] == 5 and len(ends) == 64 * 3
+    assert ends.reshape(64, 3)[63 - 2].tolist() == [3, 3, 3] and ends.reshape(64, 3)[63 - 1].tolist() == [3, 3, 4]
+
+
 def test_chat_lines(spark):
     tools = [chat_format.Tool("f", {"a": ("integer", True), "b": ("string", False)})]
     calls = spark.createDataFrame(
