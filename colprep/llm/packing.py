@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -38,6 +39,8 @@ BUCKET_ROWS = 50_000
 RATE = 1.0  # how fast the weight of a covered length falls
 NEAR = 0.2  # configurations this near the best one are used too, at first
 GAP = 0.1  # between the fractional solution and its lower bound
+ROUNDS = 48  # knapsacks a program, at most
+PASSES = 32  # programs, at most; each holds what rounding the one before left over
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,35 +76,33 @@ def knapsack(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     """Unbounded knapsack over 1..capacity: most weight for every room, and the length taken first there (0: none).
 
     ``weights[l]`` is the weight of length l."""
-    lengths = np.flatnonzero(weights > 0)
-    values = weights[lengths]
-    best = np.zeros(capacity + 1)
+    values = np.where(weights[1 : capacity + 1] > 0, weights[1 : capacity + 1], -np.inf)
+    behind = np.zeros(capacity + 1)  # most weight by falling room, so that every step reads one slice
     choice = np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        n = upto[room]
-        best[room] = best[room - 1]
-        if n:
-            gain = best[room - lengths[:n]] + values[:n]
-            k = n - 1 - int(gain[::-1].argmax())  # of equal configurations, that with the longest pieces
-            if gain[k] > best[room]:
-                best[room], choice[room] = gain[k], lengths[k]
-    return best, choice
-
-
-def filled(choice: list[int], room: int, first: int = 0) -> dict[int, int]:
-    """The configuration of most weight for a room, besides a length that it must hold."""
-    made = Counter({first: 1} if first else {})
+        at = capacity - room
+        behind[at] = behind[at + 1]
+        gain = (behind[at + 1 :] + values[:room])[::-1]  # by falling length
+        k = int(gain.argmax())  # of equal configurations, that with the longest pieces
+        if gain[k] > behind[at]:
+            behind[at], choice[room] = gain[k], room - k
+    return behind[::-1].copy(), choice
+
+
+def filled(choice: list[int], room: int, first: int, wanted: list[int]) -> dict[int, int]:
+    """The configuration of most weight for a room, besides a length that it must hold; no length more often than wanted."""
+    made = Counter({first: 1})
     while room > 0:
-        if choice[room]:
-            made[choice[room]] += 1
-            room -= choice[room]
+        taken = choice[room]
+        if taken and made[taken] < wanted[taken]:
+            made[taken] += 1
+            room -= taken
         else:
             room -= 1
-    return dict(made)
+    return {length: k for length, k in made.items() if k}
 
 
-def fractional(demand: dict[int, int], capacity: int, gap: float = GAP, rate: float = RATE, near: float = NEAR) -> list[tuple[dict[int, int], float]]:
+def fractional(demand: dict[int, int], capacity: int, gap: float = GAP, rate: float = RATE, near: float = NEAR, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """Configurations and their (fractional) numbers by multiplicative weights; together they cover every length.
 
     Coverage counts in shares of a length's own demand, so scale does not matter. A knapsack prices, for every
@@ -110,59 +111,103 @@ def fractional(demand: dict[int, int], capacity: int, gap: float = GAP, rate: fl
     All weighed demand over the best configuration's weight is a lower bound of the program (a dual solution);
     the numbers used, over the smallest coverage, are a solution. Ends when the two are ``gap`` apart. The rate
     and ``near`` are halved whenever the gap is not reached in ``8 / rate`` coverages, as the error left is of their size.
+
+    The time is bounded: after ``rounds`` knapsacks the lengths covered less than the median are brought up to it by the
+    best configurations that hold them, whatever their price, so a solution is whole then too, only farther from the bound.
     """
     lengths = sorted(demand)
     if not lengths:
         return []
+    held = np.array(lengths)
     wanted = [demand.get(length, 0) for length in range(capacity + 1)]
+    needed = np.array(wanted, float)
     covered = [0.0] * (capacity + 1)
     used: dict[tuple, float] = defaultdict(float)
     bound = spent = since = 0.0
-    while True:
+
+    def use(made: dict[int, int], times: float) -> None:
+        nonlocal spent
+        used[tuple(sorted(made.items()))] += times
+        spent += times
+        for x, k in made.items():
+            share = times * k / wanted[x]
+            covered[x] += share
+            weights[x] *= math.exp(-rate * share)
+
+    for spent_rounds in range(1, rounds + 1):
         low = min(covered[length] for length in lengths)
         if low - since > 8 / rate:
             rate, near, since = rate / 2, near / 2, low
-        weights = [0.0] * (capacity + 1)
-        for length in lengths:
-            weights[length] = length / capacity * math.exp(-rate * (covered[length] - low))
-        best, choice = knapsack(np.array(weights), capacity)
+        start = np.zeros(capacity + 1)
+        start[held] = held / capacity * np.exp(np.maximum(-rate * (np.array(covered)[held] - low), -500))
+        best, choice = knapsack(start, capacity)
         most = float(best[capacity])
-        bound = max(bound, sum(wanted[length] * weights[length] for length in lengths) / most)
+        bound = max(bound, float(needed @ start) / most)
         if low > 0 and spent / low <= (1 + gap) * bound:
-            return [(dict(c), x / low) for c, x in used.items()]
-        choice, reach = choice.tolist(), best.tolist()
-        order = sorted((length for length in lengths if weights[length] + reach[capacity - length] >= (1 - near) * most), key=lambda x: (covered[x], -x))
-        for length in order:
-            made = filled(choice, capacity - length, length)
-            if sum(weights[x] * k for x, k in made.items()) < (1 - near) * most:  # its lengths were covered meanwhile
+            break
+        choice, weights = choice.tolist(), start.tolist()
+        last = spent_rounds == rounds
+        target = float(np.median([covered[length] for length in lengths])) if last else 0.0
+        target = target or 1.0
+        priced = held if last else held[start[held] + best[capacity - held] >= (1 - near) * most]
+        for length in sorted(priced.tolist(), key=lambda x: (covered[x], -x)):
+            if last and covered[length] >= target:
                 continue
-            step = min(wanted[x] / k for x, k in made.items())
-            used[tuple(sorted(made.items()))] += step
-            spent += step
-            for x, k in made.items():
-                share = step * k / wanted[x]
-                covered[x] += share
-                weights[x] *= math.exp(-rate * share)
-
-
-def rounded(solution: list[tuple[dict[int, int], float]], left: Counter) -> list[tuple[dict[int, int], int]]:
-    """Whole numbers of configurations, as the solution's running sum passes whole numbers; what they hold leaves ``left``."""
+            made = filled(choice, capacity - length, length, wanted)
+            if last:
+                use(made, wanted[length] * (target - covered[length]) / made[length])
+            elif sum(weights[x] * k for x, k in made.items()) >= (1 - near) * most:  # else its lengths were covered meanwhile
+                use(made, min(wanted[x] / k for x, k in made.items()))
+    low = min(covered[length] for length in lengths)
+    return [(dict(c), x / low) for c, x in used.items()]
+
+
+def refilled(made: dict[int, int], left: Counter, alive: list[int], capacity: int) -> dict[int, int]:
+    """What is left of a configuration's lengths, its room filled with the longest lengths left that fit."""
+    out = Counter({length: min(k, left[length]) for length, k in made.items() if left[length] > 0})
+    room = capacity - sum(length * k for length, k in out.items())
+    at = bisect_right(alive, room) - 1
+    while at >= 0:
+        length = alive[at]
+        k = min(room // length, left[length] - out[length])
+        out[length] += k
+        room -= k * length
+        at = min(at, bisect_right(alive, room)) - 1
+    return {length: k for length, k in out.items() if k}
+
+
+def rounded(solution: list[tuple[dict[int, int], float]], left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of configurations, as the solution's running sum passes whole numbers; what they hold leaves ``left``.
+
+    Where lengths of a configuration are used up, the rest of it is refilled, and kept if it wastes no more room than
+    the solution does on average. Equal sequences are made together: every step ends a configuration or a length.
+    """
+    total = sum(x for _, x in solution)
+    waste = sum(x * (capacity - sum(length * k for length, k in made.items())) for made, x in solution) / total if total else 0.0
+    alive = sorted(length for length, n in left.items() if n > 0)
     bins, running = [], 0.0
     for made, x in sorted(solution, key=lambda s: (-s[1], sorted(s[0].items()))):
-        times = min([int(running + x) - int(running), *(left[length] // k for length, k in made.items())])
+        times = int(running + x) - int(running)
         running += x
-        if times > 0:
-            bins.append((made, times))
-            for length, k in made.items():
-                left[length] -= times * k
+        while times > 0 and alive:
+            now = made if all(left[length] >= k for length, k in made.items()) else refilled(made, left, alive, capacity)
+            if now is not made and capacity - sum(length * k for length, k in now.items()) > waste:
+                break
+            n = min([times, *(left[length] // k for length, k in now.items())])
+            bins.append((now, n))
+            times -= n
+            for length, k in now.items():
+                left[length] -= n * k
+                if not left[length]:
+                    alive.remove(length)
     return bins
 
 
 def program(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Solve, round and solve again for what is left, until rounding places nothing more."""
+    """Solve, round and solve again for what is left, until rounding places nothing more or ``PASSES`` are made."""
     bins = []
-    while any(left.values()):
-        more = rounded(fractional({k: n for k, n in left.items() if n > 0}, capacity), left)
+    for _ in range(PASSES):
+        more = rounded(fractional({k: n for k, n in left.items() if n > 0}, capacity), left, capacity)
         if not more:
             break
         bins += more
