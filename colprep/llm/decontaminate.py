@@ -9,7 +9,10 @@
    energy, so words that occur together stand out against words that are merely frequent.
 4. Distributed randomised SVD of the passage matrix: a Gaussian start block is multiplied by A'A in passes over
    the passages with a QR step on the driver in between; only (benchmark words x rank) numbers leave the tasks.
-5. Candidates: cosine of passage and item of at least ``COSINE`` in the latent space.
+5. Candidates: cosine of at least ``COSINE`` in the latent space, of an item's piece and windows of its own size. The
+   pieces of a group fall into length classes (the longest, half of it, a quarter, ... down to ``SHORTEST`` words). In
+   every passage each class has windows of two spans that move by one span, so a short item beside long ones is not
+   held against a window many times its length.
 6. Check: longest common subsequence of words. A share of ``VERBATIM`` of the item's words is a leak; from
    ``PARAPHRASE`` on, it is one if all informative words of the answer (the item's last sentence) are there.
 
@@ -34,6 +37,7 @@ PIECE = 128
 ITEMS = 1000
 MAX_SHARE = 0.001
 RAREST = 8
+SHORTEST = 8  # words of the least length class
 OVERSAMPLE = 56
 PASSES = 2
 COSINE = 0.3
@@ -66,6 +70,11 @@ class Benchmark:
                 self.pieces.append(part)
                 self.answers.append(answer if high == len(own) else part)
         self.half = max((len(p) for p in self.pieces), default=1)
+        spans = [self.half]
+        while -(-spans[-1] // 2) >= SHORTEST:
+            spans.append(-(-spans[-1] // 2))
+        own = np.array([min((s for s in spans if s >= len(p)), default=self.half) for p in self.pieces], np.int64)
+        self.classes = [(int(span), np.flatnonzero(own == span)) for span in np.unique(own)]  # (span, pieces)
         self.filter = np.zeros(_FILTER, bool)
         self.filter[(self.hashes & np.uint64(_FILTER - 1)).astype(np.int64)] = True
         self.column = np.zeros(0, np.int32)  # word number -> informative column or -1
@@ -112,6 +121,29 @@ class Benchmark:
         code = np.unique(row[found >= 0] * len(self.weight) + found[found >= 0])
         return code // max(1, len(self.weight)), code % max(1, len(self.weight))
 
+    def windows(self, sequences: list[np.ndarray], own: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of two spans that begin within the first ``own`` words of a passage and hold enough informative words:
+        (passage, first word) of each window, and (window, informative column) of its distinct ones, ascending."""
+        size = np.array([len(s) for s in sequences], np.int64)
+        flat = np.concatenate(sequences)
+        found = np.where(flat >= 0, self.column[flat], -1)
+        at = np.flatnonzero(found >= 0)
+        passage = np.repeat(np.arange(len(sequences)), size)[at]
+        number = (at - (np.cumsum(size) - size)[passage]) // span
+        passage, column = np.tile(passage, 2), np.tile(found[at], 2).astype(np.int64)
+        number = np.concatenate([number, number - 1])  # a word stands in the window of its span and in the one before
+        keep = (number >= 0) & (number * span < own[passage])
+        if span >= self.half:
+            keep &= number == 0  # the passage itself
+        most = int(number.max(initial=0)) + 1
+        code = np.unique((passage[keep] * most + number[keep]) * len(self.weight) + column[keep])
+        window, column = code // max(1, len(self.weight)), code % max(1, len(self.weight))
+        window, row, count = np.unique(window, return_inverse=True, return_counts=True)
+        enough = count >= self.needed
+        keep = enough[row]
+        row = (np.cumsum(enough) - 1)[row[keep]]
+        return window[enough] // most, window[enough] % most * span, row, column[keep]
+
     def project(self, row: np.ndarray, column: np.ndarray, rows: int, basis: np.ndarray) -> np.ndarray:
         """A basis, for the rows given sparsely (ascending)."""
         out = np.zeros((rows, basis.shape[1]), np.float32)
@@ -146,7 +178,8 @@ def frequencies(docs: DataFrame, benchmark: Benchmark) -> tuple[np.ndarray, int]
 
 
 def passages(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
-    """doc_id, start (word), sequence (word numbers, -1 for others) of the passages that can be near an item."""
+    """doc_id, start (word), sequence (word numbers, -1 for others) of the passages that can be near an item, and own: the
+    number of its first words that no later passage begins with (all of them in a text's last passage)."""
 
     def run(batches):
         for batch in batches:
@@ -161,15 +194,17 @@ def passages(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
                 last = ~follows & (np.append(False, row[1:] == row[:-1]))  # the window before covers a last half
                 chosen = np.flatnonzero((both >= benchmark.needed) & ~last)
                 size = length + np.where(follows, np.append(length[1:], 0), 0)
+                own = np.where(follows & np.append(follows[1:], False), length, size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(low + row[chosen])), pa.array(first[chosen] - first[np.searchsorted(row, row[chosen])], pa.int64()),
                         pa.array([numbers[first[k] : first[k] + size[k]].tobytes() for k in chosen.tolist()], pa.binary()),
+                        pa.array(own[chosen], pa.int32()),
                     ],
-                    names=["doc_id", "start", "sequence"],
+                    names=["doc_id", "start", "sequence", "own"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, start long, sequence binary")
+    return docs.mapInArrow(run, "doc_id long, start long, sequence binary, own int")
 
 
 def _sequences(batch) -> list[np.ndarray]:
@@ -257,17 +292,20 @@ def matches(table: DataFrame, benchmark: Benchmark, basis: np.ndarray) -> DataFr
             out = []
             for k in range(0, batch.num_rows, 4096):
                 sequences = _sequences(batch.slice(k, 4096))
-                row, column = benchmark.sparse(sequences)
-                x = benchmark.project(row, column, len(sequences), basis)
-                cosine = (x @ latent.T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                for passage, piece in zip(*(c.tolist() for c in np.nonzero(cosine >= COSINE)), strict=True):
-                    sequence, wanted = sequences[passage], benchmark.pieces[piece]
-                    mine = sequence[sequence >= 0].tolist()
-                    common = common_subsequence(mine, wanted.tolist()) / len(wanted)
-                    if common >= PARAPHRASE:
-                        answer = answers[piece] <= set(mine)
-                        if answer or common >= VERBATIM:
-                            out.append((ids[k + passage], benchmark.items[piece], starts[k + passage], float(cosine[passage, piece]), common, answer))
+                own = batch.column("own").slice(k, 4096).to_numpy(zero_copy_only=False)
+                for span, pieces in benchmark.classes:
+                    passage, first, row, column = benchmark.windows(sequences, own, span)
+                    x = benchmark.project(row, column, len(passage), basis)
+                    cosine = (x @ latent[pieces].T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    for window, place in zip(*(c.tolist() for c in np.nonzero(cosine >= COSINE)), strict=True):
+                        piece, here, begin = pieces[place], passage[window], int(first[window])
+                        sequence, wanted = sequences[here][begin : begin + 2 * span], benchmark.pieces[piece]
+                        mine = sequence[sequence >= 0].tolist()
+                        common = common_subsequence(mine, wanted.tolist()) / len(wanted)
+                        if common >= PARAPHRASE:
+                            answer = answers[piece] <= set(mine)
+                            if answer or common >= VERBATIM:
+                                out.append((ids[k + here], benchmark.items[piece], starts[k + here] + begin, float(cosine[window, place]), common, answer))
             columns = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "start", "cosine", "common", "answer"])

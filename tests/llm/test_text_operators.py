@@ -288,6 +288,28 @@ def test_leaks_are_found_and_clean_documents_stay(spark, docs):
     assert decontaminate.leaks(table, items.limit(0)).count() == 0 and decontaminate.leaks(table.limit(0), items).count() == 0
 
 
+def test_short_items_beside_a_long_one(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    items = [" ".join(rng.sample(vocabulary, rng.randint(6, 12))) for _ in range(60)]
+    long_item = " ".join(rng.sample(vocabulary, 128))
+    rows, want = [], set()
+    for k in range(240):
+        text = rng.choices(vocabulary, k=300)
+        if k % 3 < 2:  # item k, or the long one, somewhere: also at the very ends
+            held = items[k % 60] if k % 12 else long_item
+            at = rng.choice([0, rng.randrange(300), 300])
+            text[at:at] = held.split()
+            want.add((k, k % 60 if k % 12 else 60))
+        rows.append((k, " ".join(text)))
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    for given in (items, [*items, long_item]):
+        asked = spark.createDataFrame(list(enumerate(given)), "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs_, asked).collect()}
+        held = {(d, i) for d, i in want if i < len(given)}
+        assert len(held & got) >= 0.98 * len(held) and len(got - held) <= 0.05 * len(held), (len(held), len(held & got), len(got - held))
+
+
 def test_long_items_are_cut_evenly():
     for n in (1, 128, 129, 257, 400):
         pieces = decontaminate.Benchmark([(1, " ".join(f"w{k}" for k in range(n)))]).pieces
