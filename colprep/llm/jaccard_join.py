@@ -251,7 +251,8 @@ def settled_rows(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     order = np.argsort(b, kind="stable")
     a, b = a[order], b[order]
     later, first = np.unique(b, return_index=True)
-    for row, low, high in zip(later.tolist(), first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
+    cuts = [*first.tolist(), len(b)]  # without edges one cut and no row
+    for row, low, high in zip(later.tolist(), cuts[:-1], cuts[1:], strict=True):
         out[row] = not out[a[low:high]].all()
     return out
 

@@ -223,6 +223,18 @@ def test_settled_rows_have_an_edge_to_one_that_goes_on():
     assert jaccard_join.settled_rows(5, np.array([0, 1, 2, 0]), np.array([1, 2, 3, 4])).tolist() == [False, True, False, True, True]
 
 
+def test_large_nodes_without_near_pairs_go_on(spark, docs, monkeypatch):
+    none = np.zeros(0, np.int64)
+    assert jaccard_join.settled_rows(3, none, none).tolist() == [False] * 3
+    monkeypatch.setattr(jaccard_join, "SMALL_NODE", 8)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]  # brings the texts into one node, but no two of them are half alike
+    texts = [" ".join([*passage, *(word() for _ in range(140))]) for _ in range(40)]
+    got = jaccard_join.similar_documents(docs(texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_links(texts) == [(k, k, 0) for k in range(40)]
+
+
 def test_jaccard_join_raises_where_recall_is_not_reached(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MAX_ROUNDS", 1)
     monkeypatch.setattr(jaccard_join, "RUNS", 1)
