@@ -15,6 +15,7 @@ one, so repeated rows get equal results; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from itertools import combinations
 
@@ -84,12 +85,15 @@ def fit_machine(x: np.ndarray, positive: np.ndarray, steps: int = 80, penalty: f
     """Weights of a linear support vector machine (squared hinge); the intercept is folded in."""
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
-    centre, scale = x.mean(0), np.sqrt(x.std(0) + 1e-6)
-    z = (x - centre) / scale
-    z /= max(1e-12, float(np.sqrt((z * z).sum(1).mean())))
-    factor = float(np.sqrt((((x - centre) / scale) ** 2).sum(1).mean()))
+    # one copy of the matrix, in place; scalars come from math, as those of NumPy would make all that follows 64 bits wide
+    centre = x.mean(0)
+    scale = np.sqrt(np.concatenate([x[:, k : k + 512].std(0) for k in range(0, x.shape[1], 512)]) + 1e-6)
+    z = x - centre
+    z /= scale
+    factor = float(np.sqrt(np.concatenate([(z[k : k + 64] ** 2).sum(1) for k in range(0, len(z), 64)]).mean()))
+    z /= max(1e-12, factor)
     # the largest eigenvalue of the curvature bounds the step
-    v = np.ones(z.shape[1], np.float32) / np.sqrt(z.shape[1])
+    v = np.ones(z.shape[1], np.float32) / math.sqrt(z.shape[1])
     for _ in range(20):
         v = z.T @ (share * (z @ v))
         norm = float(np.linalg.norm(v))
@@ -99,7 +103,7 @@ def fit_machine(x: np.ndarray, positive: np.ndarray, steps: int = 80, penalty: f
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (z @ ahead))
         new = ahead - rate * (penalty * ahead - 2 * (z.T @ (share * y * slack)))
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
     folded = w / scale / max(factor, 1e-12)
     return (folded - float(folded @ centre)).astype(np.float32)
@@ -159,14 +163,18 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
                 for row, vector in zip(range(low, high), frequencies(data, offsets), strict=True):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([vector.tobytes()], pa.binary())], names=["lang", "x"])
+                    at = np.flatnonzero(vector)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([vector[at].tobytes()], pa.binary())], names=["lang", "bins", "x"])
 
     # some per_language rows of a language are left for the window: copies are put together before
     drawn = rows.where(draw < share).select("lang", F.xxhash64("text").alias("row"), "text").dropDuplicates(["lang", "row"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("row"))
-    sample = drawn.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    sample = drawn.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text").mapInArrow(run, "lang string, bins binary, x binary").toArrow()
     lang = np.array(sample.column("lang").to_pylist(), object)
-    x = np.stack([np.frombuffer(v.as_py(), np.float32) for v in sample.column("x")]) if len(lang) else np.zeros((0, BINS), np.float32)
+    x = np.zeros((len(lang), BINS), np.float32)
+    for row, (bins, values) in enumerate(zip(sample.column("bins"), sample.column("x"), strict=True)):
+        x[row, np.frombuffer(bins.as_py(), np.uint16)] = np.frombuffer(values.as_py(), np.float32)
+    del sample
     languages = sorted(set(lang.tolist()))
     families = np.array([family(v) for v in lang], object)
     groups = [("", families)] + [(name, np.where(families == name, lang, None)) for name in sorted(set(families.tolist()))]
@@ -175,7 +183,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "
         for a, b in combinations(list(dict.fromkeys(sorted({v for v in label if v is not None}))), 2):
             of = (label == a) | (label == b)
             pairs.append((level, a, b))
-            weights.append(fit_machine(x[of], label[of] == a))
+            weights.append(fit_machine(x if of.all() else x[of], label[of] == a))
     return Model(languages, pairs, np.array(weights, np.float32).reshape(len(pairs), BINS))
 
 

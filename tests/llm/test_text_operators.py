@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -171,6 +172,20 @@ def brute_links(texts):
     return [(k, find(k), links[k]) for k in range(len(sets))]
 
 
+def test_fitting_a_language_machine_copies_the_sample_once():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, language_id.BINS), np.float32)
+    x[:200, :100] *= 3
+    x /= x.sum(1, keepdims=True)
+    before, positive = x.copy(), np.arange(400) < 200
+    tracemalloc.start()
+    weights = language_id.fit_machine(x, positive)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * x.nbytes and weights.dtype == np.float32 and (x == before).all()
+    assert ((x @ weights > 0) == positive).all()
+
+
 def test_jaccard_join_equals_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL_NODE", 8)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
